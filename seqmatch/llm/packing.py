@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
-    schema = rows.drop("__text").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = rows.drop("__text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
 

@@ -254,4 +254,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, only_goo
             out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *ADDED])
             yield out.filter(pa.array(s >= threshold)) if only_good else out
 
-    return rows.mapInArrow(run, rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(run, rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("predicted", "integer"))
