@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, quality
+from . import langid, linededup, mixing, ngramjoin, packing, quality
 from .common import table
 
 
@@ -36,12 +36,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", "shuffle_key")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "keeper")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
