@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, ngramjoin, packing, quality
+from . import iblt, langid, linededup, mixing, ngramjoin, packing, quality
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", "shuffle_key")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = iblt.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "keeper")
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op9_fingerprint": op9_fingerprint,
     "op10_ngram_join": op10_ngram_join,
 }
 
