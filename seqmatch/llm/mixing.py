@@ -26,11 +26,10 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, al
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [("", 0.0)], "named string, weight double")
         weighted = counts.join(given, F.col("source").eqNullSafe(F.col("named")), "left").drop("named").na.fill({"weight": 0.0})
-    sums = weighted.agg(F.sum("weight").alias("all_weight"), F.sum("n_rows").alias("all_rows"))
-    rows = F.col("all_rows").cast("double") if total is None else F.lit(float(total))
-    share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0)
-    # one row of sums meets one row for each source
-    return weighted.join(F.broadcast(sums)).select("source", "n_rows", share.alias("share"), (share * rows / F.col("n_rows")).alias("rate"))
+    all_weight, all_rows = weighted.agg(F.sum("weight"), F.sum("n_rows")).first()
+    share = F.col("weight") / F.lit(all_weight) if all_weight else F.lit(0.0)
+    rows = float(all_rows or 0) if total is None else float(total)
+    return weighted.select("source", "n_rows", share.alias("share"), (share * F.lit(rows) / F.col("n_rows")).alias("rate"))
 
 
 def poisson_steps(rate: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, langid, linededup, mixing, ngramjoin, packing, quality
+from . import iblt, langid, linededup, mixing, ngramjoin, packing, quality, secrets
 from .common import table
 
 
@@ -36,6 +36,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", "shuffle_key")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = "f.rule in (" + ", ".join(f"'{r.name}'" for r in secrets.RULES if r.base) + ")"
+    counts = [F.expr(f"cast(size(filter(found, f -> f.rule = '{r.name}')) as bigint)").alias(f"n_{r.name}") for r in secrets.RULES if r.base]
+    return found.select("doc_id", *counts, F.sha2(F.expr(secrets.printed("found", base)), 256).alias("base_sha256"), F.expr(secrets.printed("found")).alias("spans"), "blob")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = iblt.fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_ngram_join": op10_ngram_join,
 }
