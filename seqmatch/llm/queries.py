@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, langid, linededup, mixing, ngramjoin, packing, quality, secrets
+from . import iblt, langid, linededup, media, mixing, ngramjoin, packing, quality, secrets, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    found = warc.summary(warc.read(archives, payload=False, only_last=True))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
@@ -28,6 +34,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,9 +64,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_media": op5_media,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
@@ -64,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
     "op7_mixing": mixing.oracle(),
 }
