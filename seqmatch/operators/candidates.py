@@ -12,14 +12,19 @@ from ..functions.columns import micros
 from ..plans.ast import Query, QueryError
 
 
-def own_conditions(q: Query, var: str) -> Column:
-    """All conditions on one variable alone; null counts as false."""
+def filter_conditions(q: Query, var: str) -> Column:
+    """All conditions on one variable alone, as they reach the file scan."""
     parts = [p.expr.sql(lambda r: f"`{r.column}`") for p in [*q.constant, *q.independent(var)]]
-    return F.coalesce(F.expr(" AND ".join(f"({p})" for p in parts)), F.lit(False)) if parts else F.lit(True)
+    return F.expr(" AND ".join(f"({p})" for p in parts)) if parts else F.lit(True)
+
+
+def own_conditions(q: Query, var: str) -> Column:
+    """The same as a flag: null counts as false."""
+    return F.coalesce(filter_conditions(q, var), F.lit(False))
 
 
 def any_variable(q: Query, variables: list[str] | None = None) -> Column:
-    return reduce(lambda a, b: a | b, [own_conditions(q, v) for v in variables or q.variables])
+    return reduce(lambda a, b: a | b, [filter_conditions(q, v) for v in variables or q.variables])
 
 
 def check(df: DataFrame, q: Query) -> None:
@@ -55,7 +60,7 @@ def split(df: DataFrame, q: Query, unit: str = "us", whole: bool = True, filtere
     out = {}
     for v in q.variables:
         names = df.columns if whole else [lower[c.lower()] for c in q.columns(v)]
-        rows = df.where(own_conditions(q, v)) if filtered else df
+        rows = df.where(filter_conditions(q, v)) if filtered else df
         rows = rows.where(t.isNotNull())
         out[v] = rows.select(
             *[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(q.partition_by)],

@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, Predicate, Query
-from .candidates import check, own_conditions, tie_columns
 from ..functions.columns import micros
+from ..plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, Predicate, Query
+from .candidates import any_variable, check, own_conditions, tie_columns
 
 
 def _name(r) -> str:
@@ -99,7 +99,7 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
     flags = {v: own_conditions(q, v) for v in q.variables}
     t = micros(df, q.time, unit)
     keys = [F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(q.partition_by)]
-    rows = df.where(reduce(lambda a, b: a | b, flags.values()) & t.isNotNull())
+    rows = df.where(any_variable(q) & t.isNotNull())
     rows = rows.select(*keys, t.alias("__t"), *[c.alias(f"__o{i}") for i, c in enumerate(tie_columns(df, q))], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[f.alias(f"__is_{v}") for v, f in flags.items()])
     w = Window.partitionBy(*[f"__p{i}" for i in range(len(keys))]).orderBy(F.desc("__t"), *[F.desc(f"__o{i}") for i in range(ties)]).rowsBetween(Window.unboundedPreceding, -1)
     own = [F.col("__t").alias("t"), *[F.col(f"__o{i}").alias(f"o{i}") for i in range(ties)], *[F.col(f"c__{c.lower()}").alias(c.lower()) for c in names]]
