@@ -132,7 +132,7 @@ class Chain:
         self.order = np.argsort(-per, kind="stable")
         self.per = per[self.order]
         self.first = (np.cumsum(per) - per)[self.order]
-        self.live = [int(np.searchsorted(-self.per, -t, side="left")) for t in range(1, int(self.per[0]) + 1)] if len(per) else []
+        self.live = [int(np.searchsorted(-self.per, -t, side="right")) for t in range(1, int(self.per[0]) + 1)] if len(per) else []
 
     def messages(self, u: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """u: evidence of each line; t[y, z]: weight of label z after label y.  Gives forward (with u) and backward."""
