@@ -215,7 +215,7 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sort_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return _table(spark, sf_dir).select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
+    return _table(spark, sf_dir).select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"))
 
 
 # ------------------------------------------------------------------ intervals, slices, keys
