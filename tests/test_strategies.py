@@ -180,3 +180,14 @@ def test_classify_and_cardinality(spark):
     q, df = parse(sql("AB")), spark.createDataFrame(rows, SCHEMA)
     assert [(r.event_id, r.is_a, r.is_b) for r in candidates.classify(df, q).orderBy("event_id").collect()] == [(1, True, False), (2, False, True)]
     assert candidates.counts(df, q) == {"A": 1, "B": 1}
+
+
+def test_many_clients(spark):
+    from seqmatch.operators.sessions import run_many
+
+    rows, _, _ = FIXTURES["heads"]
+    df = spark.createDataFrame(rows, SCHEMA)
+    jobs = {f"client{i}": (lambda s=s: match_recognize(df, sql("AB"), s, unit="s")) for i, s in enumerate((ANY, NEXT_ROW, NEXT_MATCH, STRICT))}
+    assert list(run_many(spark, jobs).values()) == [2, 2, 2, 1]
+    with pytest.raises(QueryError):
+        run_many(spark, {**jobs, "bad": lambda: match_recognize(df, sql("AB"), "no such", unit="s")})
