@@ -169,7 +169,7 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
     band = ", ".join(f"xxhash64({b}, {', '.join(f'sig[{b * ROWS + r}]' for r in range(ROWS))})" for b in range(BANDS))
     banded = nodes.select("k1", "k2", F.explode(F.expr(f"array({band})")).alias("band"))
     full = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    meet = banded.join(full, "band")
+    meet = banded.join(full.hint("merge"), "band")  # the list of buckets grows with the input: never broadcast
     meet = _dealt(meet, ["band"], ["k1", "k2"], "size", BUCKET_BLOCK)
     meet = meet.join(nodes.select("k1", "k2", "sig"), ["k1", "k2"])
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -252,7 +252,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, thr
     member = materialize(member, "members")
     t1, t2 = hash128("text")
     texts = docs.where(F.col("text").rlike(WORD)).select("doc_id", t1.alias("rep1"), t2.alias("rep2"), "text")
-    chosen = member.select(F.col("rep").alias("__rep"), "rep1", "rep2")
+    chosen = member.select(F.col("rep").alias("__rep"), "rep1", "rep2").hint("merge")  # it grows with the input: never broadcast
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__rep")) & (texts["rep1"] == chosen["rep1"]) & (texts["rep2"] == chosen["rep2"]), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
