@@ -137,6 +137,18 @@ class Reader:
         extra = (prefix - 2) >> 1
         return ((2 + (prefix & 1)) << extra) + self.bits(extra) + 1
 
+    def _prefix_slowly(self, code: Prefix, lengths: np.ndarray, left: int) -> Prefix:
+        """Code lengths that are all one symbol, which then takes no bits."""
+        i, s = 0, int(code.symbol[0])
+        while i < len(lengths) and left:
+            left -= 1
+            run, value = (1, s) if s < 16 else (3 + self.bits(2), 8) if s == 16 else (3 + self.bits(3), 0) if s == 17 else (11 + self.bits(7), 0)
+            if i + run > len(lengths):
+                raise FormatError("code lengths run over")
+            lengths[i : i + run] = value
+            i += run
+        return Prefix(lengths)
+
     def prefix(self, size: int) -> Prefix:
         lengths = np.zeros(size, np.int64)
         if self.bits(1):
@@ -151,20 +163,38 @@ class Reader:
             small[_LENGTH_ORDER[i]] = self.bits(3)
         code = Prefix(small)
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
-        i, last = 0, 8
-        while i < size and left:
+        if not code.bits:
+            return self._prefix_slowly(code, lengths, left)
+        # at most 7 + 7 bits for each symbol
+        first, shift = self.at >> 3, self.at & 7
+        ahead, used, total = int.from_bytes(self.data[first : first + 2 * size + 8], "little") >> shift, 0, 8 * len(self.data) - self.at
+        symbol, width, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+        out: list[int] = []
+        last = 8
+        while len(out) < size and left:
             left -= 1
-            s = self.symbol(code)
+            at = ahead & mask
+            s, n = symbol[at], width[at]
             if s < 16:
-                lengths[i] = s
-                i += 1
+                out.append(s)
                 last = s or last
-                continue
-            run, value = (3 + self.bits(2), last) if s == 16 else (3 + self.bits(3), 0) if s == 17 else (11 + self.bits(7), 0)
-            if i + run > size:
-                raise FormatError("code lengths run over")
-            lengths[i : i + run] = value
-            i += run
+            elif s == 16:
+                out += [last] * (3 + (ahead >> n & 3))
+                n += 2
+            elif s == 17:
+                out += [0] * (3 + (ahead >> n & 7))
+                n += 3
+            else:
+                out += [0] * (11 + (ahead >> n & 127))
+                n += 7
+            ahead >>= n
+            used += n
+        if len(out) > size:
+            raise FormatError("code lengths run over")
+        if used > total:
+            raise FormatError("stream ends early")
+        self.at += used
+        lengths[: len(out)] = out
         return Prefix(lengths)
 
 
@@ -511,24 +541,22 @@ class Writer:
             lengths[used] = 1
             return Prefix(lengths)
         lengths = code_lengths(counts)
-        tokens, i, seq = [], 0, lengths.tolist()
-        while i < len(seq):
-            j = i
-            while j < len(seq) and seq[j] == seq[i]:
-                j += 1
-            run = j - i
-            if seq[i] == 0 and run >= 3:
-                take = min(run, 138)
-                tokens.append((18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
-                i += take
-            elif seq[i] and run >= 4:
-                tokens.append((seq[i], 0, 0))
-                take = min(run - 1, 6)
-                tokens.append((16, take - 3, 2))
-                i += 1 + take
-            else:
-                tokens.append((seq[i], 0, 0))
-                i += 1
+        tokens: list[tuple[int, int, int]] = []
+        cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+        for a, value, b in zip(cuts, lengths[cuts[:-1]].tolist(), cuts[1:], strict=False):
+            run = b - a
+            if value:
+                tokens.append((value, 0, 0))
+                run -= 1
+            while run:
+                take = min(run, 6 if value else 138)
+                if take < 3:
+                    tokens += [(value, 0, 0)] * take
+                elif value:
+                    tokens.append((16, take - 3, 2))
+                else:
+                    tokens.append((18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
+                run -= take
         kinds = np.bincount([t[0] for t in tokens], minlength=19)
         small = Prefix(code_lengths(kinds, 7))
         codes, sizes = small.codes(), small.lengths
@@ -538,11 +566,12 @@ class Writer:
         for s in _LENGTH_ORDER[: max(4, last + 1)]:
             self.bits(int(sizes[s]), 3)
         self.bits(0, 1)
-        alone = small.bits == 0
+        width = sizes.tolist() if small.bits else [0] * 19
+        code, value, at = codes.tolist(), 0, 0
         for s, extra, n in tokens:
-            if not alone:
-                self.bits(int(codes[s]), int(sizes[s]))
-            self.bits(extra, n)
+            value |= (code[s] | extra << width[s]) << at
+            at += width[s] + n
+        self.bits(value, at)
         return Prefix(lengths)
 
 
@@ -623,7 +652,8 @@ def _write_image(w: Writer, argb: np.ndarray, width: int, main: bool, copies: li
     all_codes = []
     for g in range(n_groups):
         mine = literal & (group_of == g)
-        counts = [np.bincount(c[mine, ch], minlength=s) for ch, s in ((2, size), (1, 256), (3, 256), (0, 256))] + [np.zeros(_N_DISTANCES, np.int64)]
+        part = c if mine.all() else c[mine]
+        counts = [np.bincount(part[:, ch], minlength=s) for ch, s in ((2, size), (1, 256), (3, 256), (0, 256))] + [np.zeros(_N_DISTANCES, np.int64)]
         for a, s, _, far in coded:
             if group_of[a] == g:
                 counts[0][s] += 1
