@@ -1,9 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame and SQL functions only.
 
-A paragraph is a line, or a part of one: texts are cut at line breaks, and at blanks between a full stop and a letter
-A-I, which makes parts of a few sentences.  A text is the set of its paragraphs' 64-bit digests.  A sketch has three
-groups of cells; a digest is added to one cell of each group.  A cell holds how many digests it has, their exclusive
-or, and that of their checksums.
+A paragraph is a line, or a sentence of one: texts are cut at line breaks and at each blank after a full stop, whatever
+comes next.  A text is the set of its paragraphs' 64-bit digests.  A sketch has three groups of cells; a digest is added
+to one cell of each group.  A cell holds how many digests it has, their exclusive or, and that of their checksums.
 
 Two sketches of one size are subtracted by adding the one text's digests with sign 1 and the other's with -1 to the same
 cells, which leaves the digests that only one text has.  *Peeling* takes out digests that stand alone in a cell, one
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GROUPS, BASE_BITS, ROUNDS, MAX_BITS = 3, 4, 4, 40
-PARAGRAPH = "\\n|(?<=[.]) (?=[A-I])"
+PARAGRAPH = "\\n|(?<=[.]) "
 EDITED, NEXT = 0, 1
 MINE, OTHER = -1, -2
 

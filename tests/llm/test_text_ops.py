@@ -289,6 +289,17 @@ def test_fingerprints(spark):
     assert len(same) == 4 and len({x.fingerprint for x in same}) == 2
 
 
+def test_paragraphs_do_not_depend_on_the_alphabet(spark):
+    sentences = ["Zwei Wege.", "no capital.", "7 of 9.", "Über uns.", "Жили были.", "\u4e00\u4e8c.", "Apples."]
+    text = " ".join(sentences)
+    rows = [(1, text), (2, " ".join([*sentences[:-1], "Others."])), (3, "x")]
+    out = {x.doc_id: x for x in iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    q = len(text) // 4
+    edited = set(re.split(r"(?<=[.]) ", text[: len(text) - q] + rows[1][1][:q]))
+    assert out[1].fingerprint.split(";")[0] == "7" and math.isclose(out[1].near_next, 6 / 8)
+    assert math.isclose(out[1].near_edited, len(edited & set(sentences)) / len(edited | set(sentences))) and out[1].near_edited > 0
+
+
 def test_sketches_retry_larger(spark):
     sets = spark.createDataFrame([(1, 0, 1, list(range(500)), list(range(250, 900))), (2, 0, 1, [7], [7])], "id long, kind int, expected long, a array<long>, b array<long>")
     out = iblt.differences(sets).collect()
