@@ -27,8 +27,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
 
     Returns the columns of ``docs`` with ``text`` rewritten, and ``n_lines`` (before dropping) and ``n_dropped``.
     * null or empty text: one empty line; the text stays as it is.
-    * each row counts as one document, repeated ``doc_id`` included; all rows that hold the largest ``doc_id`` keep
-      the line.  A null ``doc_id`` is smaller than any other.
+    * rows with one ``doc_id`` count as one document, those with a null ``doc_id`` not at all; all rows that hold the
+      largest ``doc_id`` keep the line.  A null ``doc_id`` is smaller than any other.
     * a text that loses no line is returned unchanged; one that loses all of them becomes ''.
     * columns named like the added ones are replaced; others pass through.
     """
@@ -40,7 +40,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
         docs.select("doc_id", t1.alias("__t1"), t2.alias("__t2"), F.explode(F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars))).alias("__key"))
         .select("doc_id", "__t1", "__t2", h1.alias("__h1"), h2.alias("__h2"))
     )
-    hits = keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.max("doc_id").alias("__keeper")).where(F.col("__n") >= min_docs)
+    held = keyed.select("doc_id", "__h1", "__h2").distinct()
+    hits = held.groupBy("__h1", "__h2").agg(F.count("doc_id").alias("__n"), F.max("doc_id").alias("__keeper")).where(F.col("__n") >= min_docs)
     hits = materialize(hits.select("__h1", "__h2", "__keeper"), "line-hits")
     lost = (
         keyed.join(hits, ["__h1", "__h2"])

@@ -177,6 +177,13 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(nobody).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    few, many = "A line of two documents in five rows, not of five documents.", "A line of five documents, which the first four of them lose."
+    rows = [(1, few)] * 3 + [(2, few)] * 2 + [(i, many) for i in range(10, 15)] + [(None, few)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_dropped} == {10, 11, 12, 13} and len(out) == len(rows)
+
+
 # ---------------------------------------------------------------- mixing
 
 
