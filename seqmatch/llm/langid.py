@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, text_buffer, without
@@ -169,7 +169,9 @@ def held_out(col: str = "doc_id"):
 
 def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_doc_bytes: int = MAX_DOC_BYTES, max_rows: int = MAX_ROWS) -> Model:
     """Learn from a bounded sample of rows with a ``lang``: about ``sample_bytes`` a language, whole texts of at most
-    ``max_doc_bytes``, ``max_rows`` rows in all, chosen by a hash of ``doc_id``.  Rows that are held out are not used."""
+    ``max_doc_bytes``, ``max_rows`` rows in all, chosen by a hash of ``doc_id``.  Rows that are held out are not used.
+    If the samples have more than ``max_rows`` rows, the languages with the most rows lose theirs first: all get equally
+    many rows or, where a sample has fewer, the whole sample."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     known = known.select("lang", "text", F.octet_length("text").alias("size"), F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)).alias("pick")).where(F.col("size").between(1, max_doc_bytes))
     share = {r["lang"]: min(1.0, sample_bytes / max(1, r["size"])) for r in known.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
@@ -178,7 +180,12 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES,
         chosen = F.lit(False)
         for lang, part in share.items():
             chosen = chosen | ((F.col("lang") == lang) & (F.col("pick") < int(part * (1 << 30))))
-        for r in known.where(chosen).orderBy("pick").limit(max_rows).select("lang", "text").collect():
+        known = known.where(chosen)
+        rows = known.orderBy("pick").limit(max_rows + 1).select("lang", "text").collect()
+        if len(rows) > max_rows:
+            place = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
+            rows = known.withColumn("place", place).orderBy("place", "pick").limit(max_rows).select("lang", "text").collect()
+        for r in rows:
             texts.setdefault(r["lang"], []).append(r["text"].encode())
     return Model(texts, order)
 

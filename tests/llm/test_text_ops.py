@@ -98,6 +98,16 @@ def test_held_out_rows_are_not_learned(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.cost, b.cost, strict=True))
 
 
+def test_rare_languages_keep_their_rows(spark):
+    rows = [(i, "der die und nicht auch", "de", "s", 0) for i in range(3000)] + [(9000 + i, f"the of and {i}", "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    learned = docs.where(~langid.held_out()).groupBy("lang").count().collect()
+    model = langid.train(docs, sample_bytes=20000, max_rows=100)
+    assert model.langs == ["de", "en"] and min(r["count"] for r in learned) < 50
+    whole = langid.Model({"en": [t.encode() for (i, t, lang, _, _) in rows if lang == "en" and zlib.crc32(str(i).encode()) % 5]})
+    assert set(model.gram[4].keys.tolist()) >= set(whole.gram[4].keys.tolist())
+
+
 # ---------------------------------------------------------------- quality
 
 
