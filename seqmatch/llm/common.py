@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_path, shared_dir
 
-__all__ = ["blocks", "hash128", "materialize", "new_path", "shared_dir", "table", "text_buffer", "without"]
+__all__ = ["blocks", "free_names", "hash128", "materialize", "new_path", "shared_dir", "table", "text_buffer", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def text_buffer(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of an Arrow string or binary array, without copies; nulls are empty."""
     if isinstance(values, pa.ChunkedArray):

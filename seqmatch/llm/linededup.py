@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, without
+from .common import free_names, hash128, materialize, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,50 +20,43 @@ def line_key(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """Drop the lines whose key has ``min_chars`` code points and occurs in ``min_docs`` documents.
 
-    Lines are what ``\\n`` separates, each once hashed to 128 bits.  Hashes are counted with map-side combination;
-    those over the threshold are written to the shared folder, so that their measured size decides how they meet the
-    lines again (a broadcast below Spark's limit, else a shuffle join whose hot keys adaptive execution can split).
-    Only hashes travel; whole texts are shuffled once, to meet the list of hashes they lose.
+    Texts are exploded once into lines with their positions, and the keys that are long enough hashed to 128 bits; the
+    table of (document, text, position, hash) is written to the shared folder, so nothing is split or hashed again.
+    Distinct documents are counted for each hash with map-side combination, and the hashes over the threshold meet the
+    positions again (a broadcast below Spark's limit, else a shuffle join whose hot keys adaptive execution can split).
+    A text is put together again by position: from the slices of its lines between the positions that it loses, which
+    takes time in proportion to its lines.  Only hashes travel; whole texts are shuffled once, to meet their positions.
 
     Returns the columns of ``docs`` with ``text`` rewritten, and ``n_lines`` (before dropping) and ``n_dropped``.
     * null or empty text: one empty line; the text stays as it is.
     * rows with one ``doc_id`` count as one document, those with a null ``doc_id`` not at all; all rows that hold the
       largest ``doc_id`` keep the line.  A null ``doc_id`` is smaller than any other.
     * a text that loses no line is returned unchanged; one that loses all of them becomes ''.
-    * columns named like the added ones are replaced; others pass through.
+    * a very long text is one row of many lines, whose positions meet in one row again; lines are never cut.
+    * input columns named n_lines or n_dropped are replaced; all others, however named, pass through.
     """
-    h1, h2 = hash128("__key")
-    docs = without(docs, *ADDED, "__t1", "__t2", "__lost")
-    t1, t2 = hash128(F.coalesce("text", F.lit("")))
+    docs = without(docs, *ADDED)
+    t1, t2, doc, u1, u2, lost, all_lines, kept = free_names(docs, "__t1", "__t2", "__doc", "__u1", "__u2", "__lost", "__lines", "__kept")
+    of_text = hash128(F.coalesce("text", F.lit("")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keyed = (
-        docs.select("doc_id", t1.alias("__t1"), t2.alias("__t2"), F.explode(F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars))).alias("__key"))
-        .select("doc_id", "__t1", "__t2", h1.alias("__h1"), h2.alias("__h2"))
-    )
-    held = keyed.select("doc_id", "__h1", "__h2").distinct()
-    hits = held.groupBy("__h1", "__h2").agg(F.count("doc_id").alias("__n"), F.max("doc_id").alias("__keeper")).where(F.col("__n") >= min_docs)
-    hits = materialize(hits.select("__h1", "__h2", "__keeper"), "line-hits")
-    lost = (
-        keyed.join(hits, ["__h1", "__h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("__keeper")))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("__t1").alias("__u1"), F.col("__t2").alias("__u2"))
-        .agg(F.collect_set(F.struct("__h1", "__h2")).alias("__lost"))
+    texts = docs.select(F.col("doc_id").alias("doc"), of_text[0].alias("t1"), of_text[1].alias("t2"), lines.alias("lines"))
+    keyed = texts.select("doc", "t1", "t2", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    of_key = hash128("key")
+    keyed = materialize(keyed.select("doc", "t1", "t2", "pos", of_key[0].alias("h1"), of_key[1].alias("h2")), "line-keys")
+    held = keyed.select("doc", "h1", "h2").distinct()
+    hits = held.groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
+    hits = materialize(hits.select("h1", "h2", "keeper"), "line-hits")
+    gone = keyed.join(hits, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    gone = gone.groupBy(F.col("doc").alias(doc), F.col("t1").alias(u1), F.col("t2").alias(u2)).agg(F.array_sort(F.collect_set("pos")).alias(lost))
+    rows = docs.withColumns({t1: of_text[0], t2: of_text[1]}).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(t1) == F.col(u1)) & (F.col(t2) == F.col(u2)), "left")
+    rows = rows.withColumn(all_lines, lines)
+    between = f"transform(arrays_zip(concat(array(0), transform({lost}, p -> p + 1)), concat({lost}, array(size({all_lines})))), s -> slice({all_lines}, s['0'] + 1, s['1'] - s['0']))"
+    rows = rows.withColumn(kept, F.when(F.col(lost).isNotNull(), F.array_join(F.flatten(F.expr(between)), "\n")).otherwise(F.col("text")))
+    return rows.select(
+        *[F.col(kept).alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.size(all_lines).cast("long").alias("n_lines"),
+        F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_dropped"),
     )
-    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(lost, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")), "left")
-
-    def dropped(line: Column) -> Column:
-        a, b = hash128(line_key(line))
-        return (F.char_length(line_key(line)) >= min_chars) & F.array_contains(F.col("__lost"), F.struct(a.alias("__h1"), b.alias("__h2")))
-
-    out = joined.withColumn("__kept", F.when(F.col("__lost").isNotNull(), F.filter(lines, lambda x: ~dropped(x))))
-    out = out.withColumns(
-        {
-            "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.when(F.col("__kept").isNotNull(), F.size(lines) - F.size("__kept")).otherwise(0).cast("long"),
-            "text": F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")),
-        }
-    )
-    return out.drop("__t1", "__t2", "__doc", "__u1", "__u2", "__lost", "__kept")
 
 
 ORACLE = """

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -194,6 +195,17 @@ def test_line_dedup_counts_documents(spark):
     assert {r.doc_id for r in out if r.n_dropped} == {10, 11, 12, 13} and len(out) == len(rows)
 
 
+def test_line_dedup_passes_clashing_columns_and_many_lost_lines(spark):
+    lines = [f"line {j} of a passage that all of the documents share" for j in range(400)]
+    rows = [(i, "\n".join(["first", *lines[: 200 + i], "last"]), *"abcdefgh") for i in range(6)]
+    names = ["__doc", "__t1", "__T2", "__u1", "__u2", "__lost", "__lines", "__kept"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = linededup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect())
+    assert got == plain_dedup([r[:2] for r in rows]) and {tuple(r[c] for c in names) for r in out.collect()} == {tuple("abcdefgh")}
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -228,6 +240,19 @@ def test_mixing_edges(spark):
     assert 1700 < big < 2300
 
 
+def test_mixing_large_rates(spark):
+    rates = spark.createDataFrame([("a", 3.5), ("b", 700.0), ("c", 2e6), ("d", 0.0)], "source string, rate double")
+    got = {r.source: r for r in mixing.distributions(rates).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].least == 0 and len(got["c"].cdf) < 40000
+    for s, rate in (("a", 3.5), ("b", 700.0), ("c", 2e6)):
+        p, k = np.array(got[s].cdf), got[s].least + np.arange(len(got[s].cdf))
+        exact = np.cumsum(np.exp(k * math.log(rate) - rate - np.array([math.lgamma(x + 1) for x in k.tolist()])))
+        assert abs(p - exact).max() < 1e-8 and math.isclose(p[-1], 1.0) and p[0] < 1e-10 + math.exp(-min(rate, 700))
+    docs = spark.createDataFrame([(1, "x", "en", "s", 1), (2, "y", "en", "s", 1)], DOCS).withColumns({"__cdf": F.lit(1), "__least": F.lit(2), "__u": F.lit(3), "__source": F.lit(4)})
+    out = mixing.replicate(docs, total=200_000.0)
+    assert 198_000 < out.count() < 202_000 and set(docs.columns) < set(out.columns)
+
+
 def test_mixing_order_is_random(spark):
     docs = spark.createDataFrame([(i, str(i), "en", "s", 1) for i in range(2000)], DOCS)
     ids = [r.doc_id for r in mixing.replicate(docs).select("doc_id").collect()]
@@ -262,6 +287,20 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_web_tokens_in_linear_time():
+    rule = next(r for r in secrets.RULES if r.name == "web_token")
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    r = random.Random(5)
+    parts = ["eyJ", "eyJabcdefgh", "abcdefgh", ".", ".", " ", "é", "_", "x"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert list(rule.spans(text)) == [m.span() for m in plain.finditer(text)], text
+        assert not plain.search(text) or re.search(rule.screen, text)
+    began = time.process_time()
+    assert not list(rule.spans("eyJ" * 400_000))
+    assert time.process_time() - began < 5
+
+
 def test_ledger_scans_only_what_is_new(spark):
     first = spark.createDataFrame([(1, CASES[0]), (2, "clean")], "doc_id long, text string")
     second = spark.createDataFrame([(1, CASES[0]), (3, CASES[0]), (4, CASES[2])], "doc_id long, text string")
