@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import free_names, materialize, without
 
 ADDED = ("copy", "n_copies", "shuffle_key")
 SEED = "mix-1"
@@ -32,12 +32,21 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, al
     return weighted.select("source", "n_rows", share.alias("share"), (share * F.lit(rows) / F.col("n_rows")).alias("rate"))
 
 
-def poisson_steps(rate: str) -> str:
-    """SQL for the cumulative probabilities P(X <= k), k = 0, 1, ... up to where they equal 1 in double precision."""
-    last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 30) as int)"
-    logs = f"aggregate(sequence(1, {last}), named_struct('s', cast(0 as double), 'a', array(cast(0 as double))), (z, k) -> named_struct('s', z.s + ln(cast(k as double)), 'a', array_append(z.a, z.s + ln(cast(k as double)))), z -> z.a)"
-    mass = f"transform({logs}, (f, k) -> exp(k * ln({rate}) - {rate} - f))"
-    return f"aggregate({mass}, named_struct('s', cast(0 as double), 'a', cast(array() as array<double>)), (z, p) -> named_struct('s', z.s + p, 'a', array_append(z.a, z.s + p)), z -> z.a)"
+def distributions(rates: DataFrame) -> DataFrame:
+    """(source, least, cdf) for rows (source, rate): the cumulative probabilities P(X <= k) for k = least, least + 1, ...
+
+    ``least`` is 0 up to a rate of some 300; from there on the array covers 12 standard deviations and 30 on both sides
+    of the mean, beyond which no number of 52 bits falls, so it has about 24 * sqrt(rate) entries.  Each k is a row:
+    ln k! is a running sum of logarithms, from Stirling's series where the array doesn't begin at 0."""
+    rows = rates.where("rate > 0").withColumn("reach", F.expr("12 * sqrt(rate) + 30"))
+    rows = rows.withColumn("least", F.expr("if(rate - reach < 50, 0L, cast(floor(rate - reach) as bigint))"))
+    rows = rows.select("source", "rate", "least", F.explode(F.expr("sequence(least, cast(ceil(rate + reach) as bigint))")).alias("k"))
+    before = F.expr("if(least = 0, 0d, (least + 0.5d) * ln(least) - least + 0.5d * ln(2 * pi()) + 1 / (12d * least) - 1 / (360d * pow(least, 3)) + 1 / (1260d * pow(least, 5)))")
+    running = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    logs = F.sum(F.when(F.col("k") > F.col("least"), F.ln(F.col("k").cast("double"))).otherwise(0.0)).over(running)
+    mass = rows.withColumn("mass", F.exp(F.col("k") * F.ln("rate") - F.col("rate") - before - logs))
+    steps = mass.withColumn("p", F.sum("mass").over(running) / F.sum("mass").over(Window.partitionBy("source")))
+    return steps.groupBy("source").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("k", "p"))).alias("steps")).select("source", "least", F.expr("steps.p").alias("cdf"))
 
 
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, total: float | None = None, seed: str = SEED) -> DataFrame:
@@ -52,16 +61,18 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     Returns the columns of ``docs``, ``copy`` (from 0), ``n_copies`` and ``shuffle_key``.
     * null source: a source of its own; null doc_id hashes like ''; rows with one doc_id get the same count.
     * a source with target 0 gives no rows; empty input gives an empty result.
-    * columns named like the added ones are replaced; others pass through.
+    * empty and very long texts are rows like any other; they are moved whole.
+    * input columns named copy, n_copies or shuffle_key are replaced; all others, however named, pass through.
     """
-    docs = without(docs, *ADDED, "__mix_source", "__cdf", "__u")
-    rates = source_rates(docs, weights, alpha, total).where("rate > 0").select(F.col("source").alias("__mix_source"), F.expr(poisson_steps("rate")).alias("__cdf"))
+    docs = without(docs, *ADDED)
+    mixed, cdf, least, u = free_names(docs, "__source", "__cdf", "__least", "__u")
+    rates = distributions(source_rates(docs, weights, alpha, total)).select(F.col("source").alias(mixed), F.col("cdf").alias(cdf), F.col("least").alias(least))
     rates = materialize(rates, "mix-rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    out = docs.withColumn("__u", u).join(rates, F.col("source").eqNullSafe(F.col("__mix_source")))
-    out = out.withColumn("n_copies", F.expr("size(filter(__cdf, c -> c <= __u))").cast("long")).where("n_copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))).drop("__u", "__cdf", "__mix_source")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    out = docs.withColumn(u, hashed).join(rates, F.col("source").eqNullSafe(F.col(mixed)))
+    out = out.withColumn("n_copies", F.expr(f"{least} + size(filter({cdf}, c -> c <= {u}))")).where("n_copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))).drop(u, cdf, least, mixed)
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
