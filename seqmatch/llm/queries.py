@@ -13,7 +13,7 @@ from .common import table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"))
-    found = warc.summary(warc.read(archives, payload=False, only_last=True))
+    found = warc.summary(warc.read(archives))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

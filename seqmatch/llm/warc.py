@@ -38,13 +38,13 @@ def _open(uri: str, mode: str):
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Add __payload, digest, record_type and refers_to to pages.
+    """page_id, url, __payload, __digest, __first (smallest page_id with the payload, if repeated) and __revisit of pages.
 
     Of pages with equal payloads of ``least`` bytes or more, that with the smallest page_id is the response.  Only
     digests are grouped, with map-side combination; a page meets its group's first page_id by a join whose hot digests
     adaptive execution can split.  A digest that occurs once needs no partner, so the joined side has repeated ones only.
     """
-    rows = pages.withColumn("__payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("__payload"))
     rows = rows.withColumn("__digest", F.sha2("__payload", 256))
     first = rows.where(F.octet_length("__payload") >= least).groupBy(F.col("__digest").alias("__d")).agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     rows = rows.join(first, F.col("__digest") == F.col("__d"), "left").drop("__d")
@@ -69,6 +69,8 @@ def write(pages: DataFrame, path: str | None = None, least: int = LEAST, roll: i
     the successful attempts reported, so files of lost or repeated attempts are never read.
     * null html: an empty payload; null url: an empty one; null page_id: a response of its own without a number.
     * repeated page_id: a record each; equal payloads under one page_id are all responses.
+    * a very long payload is compressed and written chunk by chunk; no compressed record is held as a whole.
+    * other columns of ``pages``, however named, are not read.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
@@ -88,15 +90,12 @@ def write(pages: DataFrame, path: str | None = None, least: int = LEAST, roll: i
                         out = _open(name, "w")
                     body, first = payload.as_buffer(), refers_to.as_py()
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    parts = [packer.compress(header(page_id.as_py(), url.as_py(), digest.as_py(), body.size, first))]
-                    if first is None:
-                        view = memoryview(body)
-                        for i in range(0, len(view), CHUNK):
-                            parts.append(packer.compress(view[i : i + CHUNK]))
-                    parts += [packer.compress(b"\r\n\r\n"), packer.flush()]
-                    for part in parts:
-                        out.write(part)
-                        size += len(part)
+                    view = memoryview(body)[: 0 if first is not None else body.size]
+                    head = header(page_id.as_py(), url.as_py(), digest.as_py(), body.size, first)
+                    for piece in (head, *(slice(i, i + CHUNK) for i in range(0, len(view), CHUNK)), b"\r\n\r\n"):
+                        part = packer.compress(view[piece] if isinstance(piece, slice) else piece)
+                        size += out.write(part)
+                    size += out.write(packer.flush())
                     n += 1
                     if size >= roll:
                         out.close()
