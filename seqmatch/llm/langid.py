@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffer, without
+from .common import blocks, free_names, text_buffer, without
 
 ORDER = 4
 SAMPLE_BYTES = 1_000_000
-MAX_DOC_BYTES = 16_384
-MAX_ROWS = 20_000
+TOTAL_BYTES = 64_000_000
+PART_CHARS = 16_384
+MAX_PARTS = 20_000
 BLOCK = 1 << 19
 ADDED = ("lang_pred", "score")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -167,26 +168,28 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_doc_bytes: int = MAX_DOC_BYTES, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from a bounded sample of rows with a ``lang``: about ``sample_bytes`` a language, whole texts of at most
-    ``max_doc_bytes``, ``max_rows`` rows in all, chosen by a hash of ``doc_id``.  Rows that are held out are not used.
-    If the samples have more than ``max_rows`` rows, the languages with the most rows lose theirs first: all get equally
-    many rows or, where a sample has fewer, the whole sample."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    known = known.select("lang", "text", F.octet_length("text").alias("size"), F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)).alias("pick")).where(F.col("size").between(1, max_doc_bytes))
-    share = {r["lang"]: min(1.0, sample_bytes / max(1, r["size"])) for r in known.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
+def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES, part_chars: int = PART_CHARS, max_parts: int = MAX_PARTS) -> Model:
+    """Learn from a bounded sample of rows with a ``lang``; rows that are held out are not used.
+
+    Texts are taken in parts of ``part_chars`` code points, so a long text counts like many short ones and none is left
+    out for its length; contexts do not go over the border of a part.  Parts are chosen by a hash of ``doc_id`` and their
+    place, about ``sample_bytes`` a language (less where all languages together would have over ``total_bytes``), and
+    ``max_parts`` in all.  If there are more, the languages with the most parts lose theirs first: all get equally
+    many or, where a sample has fewer, the whole sample.  Rows with a null or empty text or a null ``lang`` teach nothing;
+    a null ``doc_id`` counts as not held out."""
+    known = docs.where(F.col("lang").isNotNull() & (F.char_length("text") > 0) & ~F.coalesce(held_out(), F.lit(False))).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["size"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     texts: dict[str, list[bytes]] = {}
-    if share:
-        chosen = F.lit(False)
-        for lang, part in share.items():
-            chosen = chosen | ((F.col("lang") == lang) & (F.col("pick") < int(part * (1 << 30))))
-        known = known.where(chosen)
-        rows = known.orderBy("pick").limit(max_rows + 1).select("lang", "text").collect()
-        if len(rows) > max_rows:
-            place = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-            rows = known.withColumn("place", place).orderBy("place", "pick").limit(max_rows).select("lang", "text").collect()
-        for r in rows:
-            texts.setdefault(r["lang"], []).append(r["text"].encode())
+    if sizes:
+        each, limit = min(sample_bytes, total_bytes / len(sizes)), F.lit(0)
+        for lang, size in sizes.items():
+            limit = F.when(F.col("lang") == lang, int(min(1.0, each / size) * (1 << 30))).otherwise(limit)
+        pick = "pmod(xxhash64(doc_id, b, 'lang'), 1073741824)"
+        parts = f"transform(filter(sequence(0, cast((char_length(text) - 1) div {part_chars} as int)), b -> {pick} < limit), b -> named_struct('pick', {pick}, 'part', substring(text, b * {part_chars} + 1, {part_chars})))"
+        chosen = known.withColumn("limit", limit).select("lang", F.explode(F.expr(parts)).alias("x")).select("lang", "x.*")
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "part"))
+        for r in chosen.withColumn("place", place).where(F.col("place") <= max_parts).orderBy("place", "pick", "lang").limit(max_parts).select("lang", "part").collect():
+            texts.setdefault(r["lang"], []).append(r["part"].encode())
     return Model(texts, order)
 
 
@@ -194,11 +197,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """Add ``lang_pred`` and ``score`` to the columns ``keep`` (all, if None) of ``docs``; reads ``text`` only.
 
     ``und`` with score 0 where text is null, empty or without a letter, and everywhere if no language was learned.
-    Repeated rows get equal results; columns named like the added ones are replaced.
+    Repeated rows get equal results, ties go to the first language in order.  A very long text is scored whole, block by
+    block, its contexts going over the blocks' borders.  Input columns named lang_pred or score are replaced; all others,
+    however named, pass through.
     """
-    docs = without(docs, *ADDED, "__letter", "__text")
+    docs = without(docs, *ADDED)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letter"))
+    own, has = free_names(docs, "__text", "__letter")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(own), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias(has))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,5 +220,5 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.where(letter, score, 0.0))], names=[*keep, *ADDED])
 
-    schema = rows.drop("__text", "__letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop(own, has).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
