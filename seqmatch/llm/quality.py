@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffer, without
+from .common import blocks, free_names, text_buffer, without
 from .langid import held_out
+from .shingles import run_hashes
 
 SAMPLE_ROWS = 2_000
-MAX_DOC_BYTES = 65_536
+PART_CHARS = 65_536
 TRAIN_LINES = 64
 BLOCK = 1 << 20
+LINES = 1 << 16
+_HALO = 3
 THRESHOLD = 0.3
 ADDED = ("score", "predicted")
 
@@ -76,33 +79,31 @@ def _window(raw: np.ndarray, lo: int, hi: int, start: np.ndarray, end: np.ndarra
     width = b - a
     counts[a:b] += np.bincount((line - a) * N_CLASSES + kind, minlength=width * N_CLASSES).reshape(width, N_CLASSES)
     blank = kind == _BLANK
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    edge = np.zeros(hi - lo + 1, bool)  # texts follow each other without a blank
+    edge[edges - lo] = True
+    starts = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | edge[:-1]))
     if not len(starts):
         return
-    ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+    ends = np.flatnonzero(~blank & (np.concatenate([blank[1:], [True]]) | edge[1:])) + 1
     size = ends - starts
-    padded = np.concatenate([raw[lo:hi], np.zeros(8, np.uint8)])
-    head = padded[starts[:, None] + np.arange(8)]
-    head[np.arange(8) >= size[:, None]] = 0
-    head = np.ascontiguousarray(head).view(np.uint64)[:, 0]
-    of = line[starts]
-    again = np.concatenate([[False], (head[1:] == head[:-1]) & (size[1:] == size[:-1]) & (of[1:] == of[:-1])])
+    whole, of = run_hashes(raw[lo:hi], starts, ends), line[starts]
+    again = np.concatenate([[False], (whole[1:] == whole[:-1]) & (size[1:] == size[:-1]) & (of[1:] == of[:-1])])
     words[a:b, 0] += np.bincount(of - a, minlength=width)
     words[a:b, 1] += np.bincount(of - a, weights=again, minlength=width)
     words[a:b, 2] += np.bincount(of - a, weights=size > 12, minlength=width)
 
 
-def line_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line (own, previous and next line's), the lines' bytes, and the lines of each text."""
-    start, end, per = _spans(raw, at)
+def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Features of the lines a..b-1 (own, previous and next line's); looks at a few lines on both sides only."""
+    lo, hi = max(0, a - _HALO), min(len(start), b + _HALO)
+    start, end, doc = start[lo:hi], end[lo:hi], doc[lo:hi]
     counts, words = np.zeros((len(start), N_CLASSES)), np.zeros((len(start), 3))
-    for lo in range(int(at[0]), int(at[-1]), BLOCK):
-        _window(raw, lo, min(lo + BLOCK, int(at[-1])), start, end, counts, words)
+    for x in range(int(start[0]), int(end[-1]), BLOCK):
+        _window(raw, x, min(x + BLOCK, int(end[-1])), start, end, counts, words)
     size = (end - start).astype(float)
     view = memoryview(raw)
     key = np.fromiter((zlib.crc32(view[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
     key = key << 20 ^ np.minimum(end - start, (1 << 20) - 1)
-    doc = np.repeat(np.arange(len(per)), per)
     again = np.zeros(len(start))
     for step in (1, 2):
         same = (key[step:] == key[:-step]) & (doc[step:] == doc[:-step]) & (size[step:] > 0)
@@ -122,7 +123,13 @@ def line_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[1:, N_OWN : 2 * N_OWN] = own[:-1] * tied[1:, None]
     out[:-1, 2 * N_OWN : 3 * N_OWN] = own[1:] * tied[1:, None]
     out[:, -3], out[:, -2], out[:, -1] = 1.0, ~tied, np.concatenate([~tied[1:], [True]])
-    return out, size, per
+    return out[a - lo : b - lo]
+
+
+def line_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line of all texts, the lines' bytes, and the lines of each text."""
+    start, end, per = _spans(raw, at)
+    return _features(raw, start, end, np.repeat(np.arange(len(per)), per), 0, len(start)), (end - start).astype(float), per
 
 
 class Chain:
@@ -154,6 +161,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def gradient(x: np.ndarray, y: np.ndarray, chain: Chain, per: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """Of minus the log-likelihood of the labels y of all lines, by the weights of the features and of the transitions."""
+    w, t = params[: x.shape[1]], params[x.shape[1] :].reshape(2, 2)
+    tied = np.ones(len(y), bool)
+    tied[np.cumsum(per) - per] = False
+    right = np.flatnonzero(tied)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[right - 1].astype(int), y[right].astype(int)), 1.0)
+    u = x @ w
+    ahead, back = chain.messages(u, t)
+    off = _sigmoid(ahead + back) - y
+    pair = np.empty((len(right), 2, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            pair[:, a, b] = a * ahead[right - 1] + t[a, b] + b * (u[right] + back[right])
+    pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return np.concatenate([x.T @ off, (pair.sum(axis=0) - seen).ravel()])
+
+
 class Model:
     """Weights of the field, of the features' scales and of the curve from field to score."""
 
@@ -161,7 +188,10 @@ class Model:
         self.mean, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
         self.w, self.t, self.curve = np.zeros(N_FEATURES), np.zeros((2, 2)), np.array([1.0, 0.0])
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float = 0.08, l2: float = 1e-3) -> Model:
+    def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float = 0.08, l2: float = 1e-3, train_lines: int = TRAIN_LINES, odds: float | None = None) -> Model:
+        """Every line of a text has the text's label.  The fit, not the score, cuts chains after each ``train_lines``
+        lines, so that its time is bounded.  ``odds`` are those of label 1 among all labelled rows, if the texts are a
+        sample with others; the curve is moved by the difference."""
         if not texts:
             return self
         at = np.cumsum([0, *map(len, texts)])
@@ -170,28 +200,12 @@ class Model:
         self.mean[-3], self.scale[-3] = 0.0, 1.0
         x = (x - self.mean) / self.scale
         y = np.repeat(labels, per).astype(float)
-        # long chains are cut for training only, so that its time is bounded
-        pieces = np.concatenate([np.diff([*range(0, n, TRAIN_LINES), n]) for n in per])
+        pieces = np.concatenate([np.diff([*range(0, n, train_lines), n]) for n in per])
         chain = Chain(pieces)
-        tied = np.ones(len(y), bool)
-        tied[np.cumsum(pieces) - pieces] = False
-        right = np.flatnonzero(tied)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[right - 1].astype(int), y[right].astype(int)), 1.0)
         params = np.concatenate([self.w, self.t.ravel()])
         m, v = np.zeros_like(params), np.zeros_like(params)
         for i in range(1, rounds + 1):
-            w, t = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
-            u = x @ w
-            ahead, back = chain.messages(u, t)
-            off = _sigmoid(ahead + back) - y
-            pair = np.empty((len(right), 2, 2))
-            for a in (0, 1):
-                for b in (0, 1):
-                    pair[:, a, b] = a * ahead[right - 1] + t[a, b] + b * (u[right] + back[right])
-            pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            g = np.concatenate([x.T @ off, (pair.sum(axis=0) - seen).ravel()]) / len(y) + l2 * params
+            g = gradient(x, y, chain, pieces, params) / len(y) + l2 * params
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             params = params - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         self.w, self.t = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
@@ -205,6 +219,8 @@ class Model:
             step = np.linalg.solve(h, g)
             step *= min(1.0, 2.0 / np.abs(step).max())
             a, b = a - step[0], b - step[1]
+        if odds and 0 < target.mean() < 1:
+            b += np.log(odds) - np.log(target.mean() / (1 - target.mean()))
         self.curve = np.array([a, b])
         return self
 
@@ -218,32 +234,51 @@ class Model:
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at) - 1)
+        weight, shift = self.w / self.scale, float(self.mean / self.scale @ self.w)
         for a, b in blocks(at, BLOCK):
-            x, size, per = line_features(raw, at[a : b + 1])
-            z = self._logit(((x - self.mean) / self.scale) @ self.w, size, per)
+            start, end, per = _spans(raw, at[a : b + 1])
+            doc, u = np.repeat(np.arange(b - a), per), np.empty(len(start))
+            for c in range(0, len(start), LINES):  # bounded memory, however many lines one text has
+                d = min(c + LINES, len(start))
+                u[c:d] = _features(raw, start, end, doc, c, d) @ weight - shift
+            z = self._logit(u, (end - start).astype(float), per)
             out[a:b] = _sigmoid(self.curve[0] * z + self.curve[1])
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_doc_bytes: int = MAX_DOC_BYTES) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows, chosen by a hash of ``doc_id``; texts of over ``max_doc_bytes``
-    among them are left out of the fit.  Rows that are held out, and labels that are null, are not used."""
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marks = marks.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample_rows)
-    # the broadcast side has sample_rows rows of two numbers at most
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_doc_bytes).join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample_rows).select("text", "quality").collect()
-    return Model().fit([r["text"].encode() for r in rows], np.array([int(r["quality"]) for r in rows]))
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, part_chars: int = PART_CHARS, train_lines: int = TRAIN_LINES) -> Model:
+    """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of ``doc_id`` among those that ``docs`` has.
+
+    Both labels get equally many of them or, where one has fewer, all it has; the curve then goes back to the odds of all
+    labelled documents.  Of a text of over ``part_chars`` code points the sample has one part of that size, at a place
+    chosen by a hash, so long texts teach as well.  Chains are cut after each ``train_lines`` lines (the fit only).
+    Rows that are held out, and labels that are null or of a null ``doc_id``, are not used; of several labels of one
+    ``doc_id`` the largest counts; a null text is an empty one.  Without labels all scores are 0.5."""
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("good"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi")
+    total = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
+    pick = F.xxhash64("doc_id", F.lit("quality"))
+    place = F.row_number().over(Window.partitionBy("good").orderBy(pick, "doc_id"))
+    chosen = marks.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("place", "good").limit(sample_rows)
+    # the broadcast side has sample_rows rows of three numbers at most
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("pick", pick)
+    part = f"substring(text, cast(pmod(pick, (char_length(text) - 1) div {part_chars} + 1) * {part_chars} + 1 as int), {part_chars})"
+    rows = rows.select("doc_id", "pick", "good", F.when(F.char_length("text") > part_chars, F.expr(part)).otherwise(F.col("text")).alias("part"))
+    rows = rows.orderBy("pick", "doc_id", "part").limit(sample_rows).select("part", "good").collect()
+    odds = total[1] / total[0] if len(total) == 2 else None
+    return Model().fit([r["part"].encode() for r in rows], np.array([r["good"] for r in rows]), train_lines=train_lines, odds=odds)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, only_good: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``score`` and ``predicted`` to the columns ``keep`` (all, if None) of ``docs``; reads ``text`` only.
 
     Null and empty texts are one empty line and get a score like any other.  ``only_good`` drops the rows that are
-    predicted 0.  Equal texts get equal scores; columns named like the added ones are replaced.
+    predicted 0.  Equal texts get equal scores.  A very long text is one chain of all its lines; features are made for
+    LINES of them at a time.  Input columns named score or predicted are replaced; all others, however named, pass through.
     """
-    docs = without(docs, *ADDED, "__text")
+    docs = without(docs, *ADDED)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").alias("__text")]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").alias(free_names(docs, "__text")[0])]))
     at = keep.index("text") if "text" in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

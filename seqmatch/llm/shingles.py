@@ -39,6 +39,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power[:n], _inverse[:n]
 
 
+def run_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes starts..ends-1 of ``part``."""
+    power, inverse = _powers(len(part))
+    total = np.concatenate([np.zeros(1, U), np.cumsum((part.astype(U) + U(1)) * power)])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * _STEP)
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word; words are runs without ASCII blanks, A-Z in lower case."""
     lo, hi = int(at[0]), int(at[-1])
@@ -50,10 +57,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[at - lo] = True
     starts = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | edge[:-1]))
     ends = np.flatnonzero(~blank & (np.concatenate([blank[1:], [True]]) | edge[1:])) + 1
-    power, inverse = _powers(hi - lo)
-    total = np.concatenate([np.zeros(1, U), np.cumsum((_LOWER[part].astype(U) + U(1)) * power)])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * _STEP)
-    return h, np.searchsorted(at - lo, starts, side="right") - 1
+    return run_hashes(_LOWER[part], starts, ends), np.searchsorted(at - lo, starts, side="right") - 1
 
 
 def _long(raw: np.ndarray, lo: int, hi: int) -> np.ndarray:

@@ -103,12 +103,33 @@ def test_rare_languages_keep_their_rows(spark):
     rows = [(i, "der die und nicht auch", "de", "s", 0) for i in range(3000)] + [(9000 + i, f"the of and {i}", "en", "s", 0) for i in range(40)]
     docs = spark.createDataFrame(rows, DOCS)
     learned = docs.where(~langid.held_out()).groupBy("lang").count().collect()
-    model = langid.train(docs, sample_bytes=20000, max_rows=100)
+    model = langid.train(docs, sample_bytes=20000, max_parts=100)
     assert model.langs == ["de", "en"] and min(r["count"] for r in learned) < 50
     whole = langid.Model({"en": [t.encode() for (i, t, lang, _, _) in rows if lang == "en" and zlib.crc32(str(i).encode()) % 5]})
     assert set(model.gram[4].keys.tolist()) >= set(whole.gram[4].keys.tolist())
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    r = random.Random(1)
+    rows = [(i, prose(r, "en", 20), "en", "s", 0) for i in range(60)] + [(100 + i, prose(r, "de", 9000), "de", "s", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"__text": F.lit(1), "__LETTER": F.lit(2)})
+    model = langid.train(docs, sample_bytes=60_000)
+    assert model.langs == ["de", "en"]
+    out = langid.identify(docs, model)
+    assert set(docs.columns) < set(out.columns) and out.where("lang_pred <> lang").count() == 0
+    whole = langid.train(docs, sample_bytes=10_000_000)
+    learned = [t for i, t, lang, _, _ in rows if lang == "de" and zlib.crc32(str(i).encode()) % 5]
+    parts = [t[a : a + langid.PART_CHARS].encode() for t in learned for a in range(0, len(t), langid.PART_CHARS)]
+    plain = langid.Model({"de": parts, "en": [t.encode() for i, t, lang, _, _ in rows if lang == "en" and zlib.crc32(str(i).encode()) % 5]})
+    assert len(parts) > len(learned) and all(np.array_equal(x, y) for x, y in zip(whole.cost, plain.cost, strict=True))
+
+
+def test_held_out_marks(spark):
+    rows = [(i, None, None, None, None) for i in [*range(200), -7, 2**62, None]]
+    out = spark.createDataFrame(rows, DOCS).select("doc_id", langid.held_out().alias("h")).collect()
+    assert all(x.h == (None if x.doc_id is None else zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in out)
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -127,6 +148,74 @@ def test_chain_messages_equal_enumeration():
         at += n
 
 
+def enumerated(u, t):
+    """Weight of each labelling of a chain."""
+    return {y: math.exp(sum(v * z for v, z in zip(u, y, strict=True)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False))) for y in np.ndindex(*[2] * len(u))}
+
+
+def test_score_equals_enumeration():
+    model, r = quality.Model(), np.random.RandomState(3)
+    model.w, model.t, model.curve = r.randn(quality.N_FEATURES), r.randn(2, 2), np.array([1.7, -0.4])
+    model.mean, model.scale = r.rand(quality.N_FEATURES), 0.5 + r.rand(quality.N_FEATURES)
+    texts = [b"One line.", b"", b"a a a\n\nBAD!! BAD!! | 12\n\xc3\xa9t\xc3\xa9 averyverylongword averyverylongwore\na a a\nend", b"x\nx\ny"]
+    got = model.score(*text_buffer(pa.array(texts, pa.binary())))
+    for text, score in zip(texts, got, strict=True):
+        x, size, _ = quality.line_features(*text_buffer(pa.array([text], pa.binary())))
+        lines = text.split(b"\n")
+        assert size.tolist() == [len(y) for y in lines]
+        weight = enumerated(((x - model.mean) / model.scale) @ model.w, model.t)
+        good = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(len(lines))]
+        mean = sum(g * (len(y) + 1) for g, y in zip(good, lines, strict=True)) / sum(len(y) + 1 for y in lines)
+        mean = min(max(mean, 1e-4), 1 - 1e-4)
+        assert math.isclose(score, 1 / (1 + math.exp(-(1.7 * math.log(mean / (1 - mean)) - 0.4))), rel_tol=1e-9)
+
+
+def test_gradient_equals_differences():
+    r = np.random.RandomState(1)
+    per, x, y = np.array([3, 1, 2]), r.randn(6, 4), np.array([1, 0, 1, 1, 0, 0.0])
+    params = r.randn(8) * 0.5
+
+    def loss(p):
+        total, at = 0.0, 0
+        for n in per:
+            weight = enumerated(x[at : at + n] @ p[:4], p[4:].reshape(2, 2))
+            total -= math.log(weight[tuple(int(v) for v in y[at : at + n])] / sum(weight.values()))
+            at += n
+        return total
+
+    got = quality.gradient(x, y, quality.Chain(per), per, params)
+    for i in range(8):
+        step = np.eye(8)[i] * 1e-6
+        assert math.isclose(got[i], (loss(params + step) - loss(params - step)) / 2e-6, rel_tol=1e-5, abs_tol=1e-7)
+
+
+def test_repeated_words_are_compared_whole():
+    x, _, _ = quality.line_features(*text_buffer(pa.array([b"internationally internationals", b"internationally internationally"], pa.binary())))
+    assert x[:, quality.N_CLASSES + 1].tolist() == [0.0, 0.5]
+
+
+def test_features_do_not_depend_on_line_blocks(monkeypatch):
+    model = quality.Model().fit([b"good words here\nand more", b"BAD!! BAD!!\nWORSE!!"] * 20, np.array([1, 0] * 20))
+    texts = pa.array([b"\n".join(b"line %d of it" % (i % 7) for i in range(50)), b"", b"\n" * 9, b"a\nb"], pa.binary())
+    whole = model.score(*text_buffer(texts))
+    monkeypatch.setattr(quality, "LINES", 4)
+    assert np.allclose(whole, model.score(*text_buffer(texts)), atol=1e-12)
+
+
+def test_quality_learns_from_long_texts_and_rare_labels(spark):
+    r = random.Random(6)
+    text = lambda bad, n: "\n".join(prose(r, "en", 12).upper().replace(" ", "!! ") if bad else prose(r, "en", 12) for _ in range(n))
+    docs = [(i, text(i % 2 == 0, 1500), "en", "s", 0) for i in range(24)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, quality int")
+    model = quality.train(spark.createDataFrame(docs, DOCS), marks, sample_rows=16, part_chars=4000)
+    out = quality.score(spark.createDataFrame(docs, DOCS).withColumn("__text", F.lit("kept")), model).collect()
+    assert all(x.predicted == x.doc_id % 2 and x["__text"] == "kept" for x in out)
+    docs = [(i, text(i < 12, 3), "en", "s", 0) for i in range(600)]
+    marks = spark.createDataFrame([(i, int(i >= 12)) for i in range(600)], "doc_id long, quality int")
+    few = quality.score(spark.createDataFrame(docs, DOCS), quality.train(spark.createDataFrame(docs, DOCS), marks, sample_rows=40), keep=["doc_id"]).collect()
+    assert np.mean([x.predicted == int(x.doc_id >= 12) for x in few]) > 0.99
+
+
 def test_quality_learns_and_keeps_rows(spark):
     r = random.Random(4)
     docs, labels = [], []
