@@ -12,19 +12,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import webp
-from .common import materialize, text_buffer, without
+from . import webpbatch
+from .common import blocks, free_names, materialize, text_buffer, without
 
 UNIT = 576
+ROWS = 32
 _FLUSH = 1 << 24
+_MEMORY = 96 << 20
 
 
-def to_images(payload: bytes | np.ndarray, width: int = UNIT) -> bytes:
-    """A payload of a positive multiple of ``width`` bytes as gray images of that width, one after the other.
+def to_images(payloads: list[bytes], rows: int = ROWS) -> list[bytes]:
+    """Each payload, of a positive multiple of UNIT bytes, as images of UNIT / 3 pixels across, one after the other.
 
-    One image holds up to 16384 rows; only a longer payload needs a second one."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    return b"".join(webp.encode_gray(rows[i : i + webp.MAX_SIDE]) for i in range(0, len(rows), webp.MAX_SIDE))
+    Three bytes are the red, green and blue samples of a pixel.  An image holds up to ``rows`` rows; a longer payload has
+    several, so its memory and the steps of the codec are bounded however long it is."""
+    raw = [np.frombuffer(p, np.uint8) for p in payloads]
+    parts = [(i, x[a : a + rows * UNIT]) for i, x in enumerate(raw) for a in range(0, len(x), rows * UNIT)]
+    parts.sort(key=lambda p: -len(p[1]))  # ties keep their order
+    made: dict[int, list[bytes]] = {i: [] for i in range(len(payloads))}
+    for a, b in _groups([60 * len(x) + (1 << 16) for _, x in parts]):
+        for (i, _), image in zip(parts[a:b], webpbatch.Batch([x for _, x in parts[a:b]], UNIT // 3).encode(), strict=True):
+            made[i].append(image)
+    return [b"".join(made[i]) for i in range(len(payloads))]
+
+
+def _groups(sizes: list[int]) -> list[tuple[int, int]]:
+    """Ranges of images whose needs of memory, estimated in bytes, sum to _MEMORY or that are one image."""
+    return blocks(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]), _MEMORY)
 
 
 def images(media: bytes) -> Iterator[bytes]:
@@ -36,9 +50,20 @@ def images(media: bytes) -> Iterator[bytes]:
         at += size
 
 
-def from_images(media: bytes) -> np.ndarray:
-    """Pixel array (height, width) of 8-bit samples of all images of a stored form, one below the other."""
-    return np.concatenate([webp.decode_gray(x) for x in images(media)])
+def from_images(stored: list[bytes]) -> list[np.ndarray]:
+    """For each stored form the samples (height, UNIT) of all its images, one below the other."""
+    files = [(i, x) for i, m in enumerate(stored) for x in images(m)]
+    order = sorted(range(len(files)), key=lambda k: -webpbatch.pixels_of(files[k][1]))
+    pixels: list[np.ndarray | None] = [None] * len(files)
+    for a, b in _groups([16 * len(files[k][1]) + (1 << 14) for k in order]):
+        for k, px in zip(order[a:b], webpbatch.decode([files[k][1] for k in order[a:b]]), strict=True):
+            flat = np.empty((*px.shape, 3), np.uint8)
+            flat[..., 0], flat[..., 1], flat[..., 2] = px >> np.uint32(16) & np.uint32(255), px >> np.uint32(8) & np.uint32(255), px & np.uint32(255)
+            pixels[k] = flat.reshape(len(px), -1)
+    found: list[list[np.ndarray]] = [[] for _ in stored]
+    for (i, _), px in zip(files, pixels, strict=True):
+        found[i].append(px)
+    return [np.concatenate(x) if len(x) != 1 else x[0] for x in found]
 
 
 def describe(pixels: np.ndarray) -> str:
@@ -64,21 +89,22 @@ def store(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     multiple of 576 and stored as lossless images.
 
     A null text counts as empty and has 576 bytes of padding.  Equal texts have equal media, and are encoded once a
-    slice of rows.  Columns named like the added ones are replaced.
+    slice of rows.  A very long text is several images.  Input columns named n_bytes or media are replaced; all others,
+    however named, pass through.
     """
     docs = without(docs, "n_bytes", "media")
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+    own = free_names(docs, "__text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).cast("binary").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_size(batches, len(keep), 1):
-            texts, made = batch.column(len(keep)).to_pylist(), {}
-            for t in texts:
-                if t not in made:
-                    made[t] = to_images(t + b"\xff" * (-len(t) % UNIT if t else UNIT))
+            texts = batch.column(len(keep)).to_pylist()
+            made = {t: t + b"\xff" * (-len(t) % UNIT if t else UNIT) for t in texts}
+            made = dict(zip(made, to_images(list(made.values())), strict=True))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array([len(t) for t in texts], pa.int64()), pa.array([made[t] for t in texts], pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return rows.mapInArrow(run, rows.drop("__text").schema.add("n_bytes", "long").add("media", "binary"))
+    return rows.mapInArrow(run, rows.drop(own).schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def load(media: DataFrame, pixels: bool = True) -> DataFrame:
@@ -93,12 +119,12 @@ def load(media: DataFrame, pixels: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_size(batches, len(keep), 4):
-            stored, made = batch.column(len(keep)).to_pylist(), {}
-            for m in stored:
-                if m not in made:
-                    p = from_images(m)
-                    raw = p.tobytes()
-                    made[m] = (p.shape[1], p.shape[0], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), describe(p), *([raw] if pixels else []))
+            stored = batch.column(len(keep)).to_pylist()
+            different = list(dict.fromkeys(stored))
+            made = {}
+            for m, p in zip(different, from_images(different), strict=True):
+                raw = p.tobytes()
+                made[m] = (p.shape[1], p.shape[0], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), describe(p), *([raw] if pixels else []))
             columns = list(zip(*(made[m] for m in stored), strict=True))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=schema.names)
 

@@ -18,7 +18,7 @@ MAX_SIDE = 1 << 14
 # Fixed values of the format.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _CACHE_FACTOR = np.uint32(0x1E35A7BD)
-_N_LENGTHS, _N_DISTANCES, _SIGNATURE = 24, 40, 0x2F
+_N_LENGTHS, _N_DISTANCES, _SIGNATURE, _LONGEST = 24, 40, 0x2F, 4096
 # The 120 short distances: neighbours to the left and above, nearest first.
 _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 _NEAR_CODE = {p: i + 1 for i, p in enumerate(_NEAR)}
@@ -449,18 +449,35 @@ def _bundle(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of one image as an array (height, width) of 0xAARRGGBB."""
+def unwrapped(data: bytes) -> bytes:
+    """The stream of a file."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise FormatError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
-    r = Reader(data[20 : 20 + size])
+    return data[20 : 20 + size]
+
+
+def wrapped(body: bytes) -> bytes:
+    """The file of a stream."""
+    pad = b"\0" * (len(body) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
+
+
+def size_of(r: Reader) -> tuple[int, int]:
+    """Width and height, from the beginning of a stream."""
     if r.bits(8) != _SIGNATURE:
         raise FormatError("bad signature")
     width, height = r.bits(14) + 1, r.bits(14) + 1
     r.bits(1)
     if r.bits(3):
         raise FormatError("unknown version")
+    return width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of one image as an array (height, width) of 0xAARRGGBB."""
+    r = Reader(unwrapped(data))
+    width, height = size_of(r)
     undo: list[tuple] = []
     across = width
     while r.bits(1):
@@ -476,7 +493,11 @@ def decode(data: bytes) -> np.ndarray:
             across = -(-across >> _bundle(n))
         else:
             undo.append((kind, across, 0, None))
-    argb = _read_image(r, across, height, True).reshape(height, across)
+    return undone(_read_image(r, across, height, True).reshape(height, across), undo)
+
+
+def undone(argb: np.ndarray, undo: list[tuple]) -> np.ndarray:
+    """Pixels before the transforms (kind, width, shift or bundling, data), the last of them first."""
     for kind, wide, shift, extra in reversed(undo):
         if kind == SUBTRACT_GREEN:
             green = argb >> np.uint32(8) & np.uint32(255)
@@ -592,23 +613,44 @@ def _runs(argb: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return [(a, n, 1) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) for a, n in ((x, min(4096, b - x)) for x in range(a, b, 4096)) if n >= least]
 
 
-def _matches(argb: np.ndarray, least: int = 8) -> list[tuple[int, int, int]]:
-    """Copies of the last earlier place with the same ``least`` pixels, first come first served."""
-    seen: dict[bytes, int] = {}
-    out, i = [], 0
-    while i + least <= len(argb):
-        key = argb[i : i + least].tobytes()
-        j = seen.get(key)
-        seen[key] = i
-        if j is None:
-            i += 1
-            continue
-        n = least
-        while i + n < len(argb) and n < 4096 and argb[j + n] == argb[i + n]:
-            n += 1
-        out.append((i, n, i - j))
-        i += n
-    return out
+def matches(argb: np.ndarray, lane: np.ndarray, place: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of copies of earlier pixels of the same image, none over another.
+
+    ``lane`` numbers the image of each pixel, ``place`` the pixels of an image.  A place's partner is the last earlier
+    one with the same three pixels; places in a row whose partners are in a row as well are one copy."""
+    none = np.zeros(0, np.int64)
+    total = len(argb)
+    if total < 3:
+        return none, none, none
+    p = argb.astype(np.uint64)
+    key = p[:-2] * np.uint64(0x9E3779B97F4A7C15) + p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:] * np.uint64(0x165667B19E3779F9)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    inside = np.flatnonzero(place[2:] >= 2)  # all three pixels are of one image
+    packed = np.sort((key[inside] >> np.uint64(33) << np.uint64(32)).view(np.int64) ^ inside)
+    order = packed & 0xFFFFFFFF
+    a, b = order[:-1], order[1:]
+    same = (packed[1:] >> 32 == packed[:-1] >> 32) & (lane[a] == lane[b])
+    a, b = a[same], b[same]
+    same = (argb[a] == argb[b]) & (argb[a + 1] == argb[b + 1]) & (argb[a + 2] == argb[b + 2])
+    far = np.zeros(total, np.int64)
+    far[b[same]] = (b - a)[same]
+    cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]]))
+    start, end, far = cuts[:-1], cuts[1:], far[cuts[:-1]]
+    start, end, far = start[far > 0], end[far > 0] + 2, far[far > 0]
+    if not len(start):
+        return none, none, none
+    start = np.maximum(start, np.concatenate([[0], end[:-1]]))
+    keep = end - start >= least
+    start, length, far = start[keep], (end - start)[keep], far[keep]
+    parts = -(-length // _LONGEST)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(start, parts) + nth * _LONGEST, np.minimum(_LONGEST, np.repeat(length, parts) - nth * _LONGEST), np.repeat(far, parts)
+
+
+def _matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    found = matches(argb, np.zeros(len(argb), np.int32), np.arange(len(argb)))
+    return list(zip(*(x.tolist() for x in found), strict=True))
 
 
 def _write_image(w: Writer, argb: np.ndarray, width: int, main: bool, copies: list[tuple[int, int, int]] = (), cache_bits: int = 0, tiles: tuple[int, np.ndarray] | None = None) -> None:
@@ -755,19 +797,4 @@ def encode(argb: np.ndarray, options: Options | None = None) -> bytes:
     flat = np.ascontiguousarray(argb).ravel()
     copies = _runs(flat, o.least) if o.copies == "runs" else _matches(flat) if o.copies == "all" else []
     _write_image(w, argb, width, True, copies, o.cache_bits, o.tiles)
-    body = w.bytes()
-    pad = b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
-
-
-GRAY = Options(subtract_green=True, copies="runs")
-
-
-def encode_gray(samples: np.ndarray, options: Options = GRAY) -> bytes:
-    """One image from an array (height, width) of 8-bit samples: red, green and blue are the sample."""
-    return encode(samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(_BLACK), options)
-
-
-def decode_gray(data: bytes) -> np.ndarray:
-    argb = decode(data)
-    return (argb & np.uint32(255)).astype(np.uint8)
+    return wrapped(w.bytes())
