@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seqmatch.llm import components, media, ngramjoin, packing, warc, webp
+from seqmatch.llm import components, media, ngramjoin, packing, warc, webp, webpbatch
 from seqmatch.llm.common import table
 from seqmatch.llm.queries import ORACLE_SQL, QUERIES
 from seqmatch.llm.webp import Options
@@ -105,7 +105,7 @@ def test_a_known_image():
 
 
 def test_broken_images():
-    data = webp.encode_gray(np.arange(576, dtype=np.uint32).reshape(1, 576) % 251)
+    data = webp.encode((np.arange(576, dtype=np.uint32).reshape(1, 576) % 251) * np.uint32(0x010101))
     for bad in (data[:30], b"", data[:12] + b"VP8 " + data[16:], data[:20] + b"\0" + data[21:]):
         with pytest.raises(webp.FormatError):
             webp.decode(bad)
@@ -129,9 +129,100 @@ def test_media_column(spark, monkeypatch):
     by = {r.doc_id: r for r in out}
     assert by[0].media_sha256 == by[6].media_sha256 and by[0].feature == by[6].feature
     assert media.round_trip(df.limit(0), ["doc_id"]).count() == 0
-    monkeypatch.setattr(webp, "MAX_SIDE", 600)
     long = os.urandom(576 * 1300)
-    assert media.from_images(media.to_images(long)).tobytes() == long
+    made = media.to_images([long, long[:576]], rows=600)
+    assert [sum(1 for _ in media.images(m)) for m in made] == [3, 1]
+    assert [x.tobytes() for x in media.from_images(made)] == [long, long[:576]]
+    monkeypatch.setattr(media, "_MEMORY", 1)  # an image at a time
+    assert media.to_images([long, long[:576]], rows=600) == made and media.from_images(made)[0].tobytes() == long
+
+
+def payloads():
+    """Samples for which each of the encoder's tools pays, and awkward ones; 576 bytes a row."""
+    rng = np.random.RandomState(11)
+    n = 192 * 12
+    g = rng.randint(0, 256, n)
+    walk = np.cumsum(rng.randint(-2, 3, (n, 3)), axis=0)
+    down = np.cumsum(rng.randint(-2, 3, (40, 576)), axis=0) + rng.randint(0, 256, 576)
+    words = rng.randint(0, 256, (30, 3))
+    return {
+        "plain": rng.randint(32, 127, 3 * n),
+        "subtract_green": np.stack([g + rng.randint(0, 3, n), g, g + rng.randint(0, 3, n)], axis=1),
+        "cross_colour": np.stack([((g ^ 128) - 128) // 2 + rng.randint(0, 3, n), g, rng.randint(0, 256, n)], axis=1),
+        "predictor_left": walk,
+        "predictor_top": down,
+        "palette": words[rng.randint(0, 30, 192 * 2)],
+        "copies": np.concatenate([x := rng.randint(0, 256, 576 * 3), x, x[3:], x[:3]]),
+        "long copies": np.tile(rng.randint(0, 256, 576), 60),
+        "blank": np.full(576, 255),
+        "skewed": np.minimum(rng.geometric(0.5, 576 * 40), 255),
+        "one row": rng.randint(0, 2, 576),
+    }
+
+
+def test_batches_of_images_use_each_tool():
+    raw = {k: (np.asarray(v).ravel() & 255).astype(np.uint8) for k, v in payloads().items()}
+    batch = webpbatch.Batch(list(raw.values()), 192)
+    files = batch.encode()
+    chosen = dict(zip(raw, (webpbatch.TOOLS[i] for i in batch.tool.tolist()), strict=True))
+    assert {k: v for k, v in chosen.items() if k in webpbatch.TOOLS} == {k: k for k in webpbatch.TOOLS}
+    cached = webpbatch.Batch([(words := np.random.RandomState(2).randint(0, 256, (300, 3)).astype(np.uint8))[np.random.RandomState(3).zipf(1.3, 192 * 20) % 300].ravel()], 192)
+    more = cached.encode()
+    assert cached.cached.all() and len(words) == 300
+    # read in lockstep, one by one by the general decoder, and written alone: all the same
+    for x, f, a, k in zip([*raw.values(), cached_raw(cached, more)], [*files, *more], webpbatch.decode([*files, *more]), [*raw, "cached"], strict=True):
+        rgb = np.stack([a >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0)], axis=-1).astype(np.uint8)
+        assert (a >> np.uint32(24) == 255).all() and (rgb.ravel() == x).all(), k
+        assert (webp.decode(f) == a).all() and webpbatch.Batch([x], 192).encode() == [f], k
+
+
+def cached_raw(batch, files):
+    px = webp.decode(files[0])
+    return np.stack([px >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0)], axis=-1).astype(np.uint8).ravel()
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (1, 7, 2), (5, 3, 4), (9, 33, 16), (40, 37, 300)])
+def test_batches_read_other_images(shape):
+    rng = np.random.RandomState(sum(shape))
+    pictures = [picture(rng, *shape) for _ in OPTIONS] + [picture(rng, shape[1], shape[0], 50)]
+    tiles = (2, rng.randint(0, 3, (-(-shape[1] >> 2), -(-shape[0] >> 2))))
+    files = [webp.encode(a, o) for a, o in zip(pictures, [*OPTIONS, Options(tiles=tiles)], strict=True)]
+    for a, b, o in zip(pictures, webpbatch.decode(files), [*OPTIONS, None], strict=True):
+        assert (a == b).all(), o
+
+
+def test_batches_of_broken_images():
+    good = webpbatch.Batch([np.random.RandomState(0).randint(32, 120, 576 * 3).astype(np.uint8)], 192).encode()[0]
+    for bad in (good[:200], good[:60], good[:20] + b"\0" + good[21:], b""):
+        with pytest.raises(webp.FormatError):
+            webpbatch.decode([good, bad])
+
+
+def test_lanes_have_huffman_codes():
+    rng = np.random.RandomState(4)
+    counts = np.maximum(0, rng.geometric(0.01, (40, 90)) - 60)
+    counts[3] = [1 << min(i, 40) for i in range(90)]
+    counts[4], counts[5] = 0, 0
+    counts[5, 7] = 9
+    got = webpbatch.huffman(counts, 15)
+    for c, n in zip(counts, got, strict=True):
+        plain = webp.code_lengths(c)
+        assert (c * n).sum() == (c * plain).sum() or plain.max() == 15
+        assert n.max() <= 15 and ((0.5 ** n[n > 0].astype(float)).sum() == 1 or (c > 0).sum() < 2)
+        assert (webpbatch.codes(n[None])[0] == webp.Prefix(n.astype(np.int64)).codes()).all()
+
+
+def test_stored_images_of_documents(spark):
+    """The query's own images: which tools the estimate chooses for prose (no transform pays, the cache nearly always)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = media.store(docs, ["doc_id"]).collect()
+    used = collections.Counter()
+    for r in rows:
+        for f in media.images(r.media):
+            head = webpbatch._header(f)
+            used["palette" if head is None else "cache" if head[4] else "no cache"] += 1
+            used.update(["transformed"] * bool(head and head[5]))
+    assert len(rows) == docs.count() and used["cache"] > 500 and used["no cache"] and used["palette"] + used["transformed"] < 20
 
 
 # ---------------------------------------------------------------- packing
