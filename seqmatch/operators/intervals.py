@@ -91,10 +91,15 @@ def slice_of(time: Column, window: int) -> Column:
     return F.floor(time * F.lit(SLICES) / F.lit(max(1, window)))
 
 
-def slice_set(intervals: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
-    """The twentieths of windows that intervals touch: a coarser set that is one equality join away from any row."""
+def slices(intervals: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
+    """The twentieths of windows that each interval touches."""
     w = max(1, window)
-    return intervals.select(*(keys or []), F.explode(F.sequence(F.floor(F.col("start") * SLICES / F.lit(w)), F.floor(F.col("end") * SLICES / F.lit(w)))).alias("slice")).distinct()
+    return intervals.select(*(keys or []), F.explode(F.sequence(F.floor(F.col("start") * SLICES / F.lit(w)), F.floor(F.col("end") * SLICES / F.lit(w)))).alias("slice"))
+
+
+def slice_set(intervals: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
+    """The twentieths of windows that a set touches: a coarser set that is one equality join away from any row."""
+    return slices(intervals, window, keys).distinct()
 
 
 def slice_and(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from ..functions.storage import materialize
 from ..plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, Predicate, Query
 from .candidates import any_variable, check, own_conditions, tie_columns
 
@@ -154,9 +155,7 @@ def _ranges(rows: DataFrame, order: list[Column], more: int) -> DataFrame:
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in rows.approxQuantile("__t", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    steps = [1 << i for i in reversed(range(max(1, len(cuts).bit_length())))]
-    bounds = "array(" + ", ".join([f"{c}L" for c in cuts] + ["cast(null as bigint)"] * (2 * steps[0] - len(cuts))) + ")"
-    rows = rows.withColumn("__range", F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (p, s) -> if(coalesce({bounds}[p + s - 1] <= __t, false), p + s, p))"))
+    rows = rows.withColumn("__range", _range_of(cuts, "__t"))
     sizes = sorted((r["__range"], r["n"]) for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
     lend = []
     for i, (mine, _) in enumerate(sizes):
@@ -177,27 +176,64 @@ def _ranges(rows: DataFrame, order: list[Column], more: int) -> DataFrame:
     return rows.unionByName(lent)
 
 
+def _range_of(cuts: list[int], time: str) -> Column:
+    """Number of the range between ``cuts`` that a time falls in, by bisection."""
+    steps = [1 << i for i in reversed(range(max(1, len(cuts).bit_length())))]
+    bounds = "array(" + ", ".join([f"{c}L" for c in cuts] + ["cast(null as bigint)"] * (2 * steps[0] - len(cuts))) + ")"
+    return F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (p, s) -> if(coalesce({bounds}[p + s - 1] <= {time}, false), p + s, p))")
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns that both have, null being equal to null; the right ones are dropped."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in names})
+    out = left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names]), how)
+    return out.drop(*[f"__r_{c}" for c in names])
+
+
+def _followers(nodes: DataFrame, keys: list[str], to_last: bool) -> DataFrame:
+    """(keys, s, n) for matches (keys, s, e) that begin at s and end at e: the first of the others that begins after e, or,
+    ``to_last``, at e.
+
+    Beginnings and ends are dealt to ranges of time between quantiles, so that neither one large partition nor a table
+    without a partition key is one task; where a range has no later beginning, the least one of a later range is it."""
+    spark = nodes.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted({int(x) for x in nodes.select(F.col("s.t").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    begins = nodes.select(*keys, F.col("s").alias("at"), F.col("s").alias("begin"), F.lit(None).cast(nodes.schema["s"].dataType).alias("s"))
+    ends = nodes.select(*keys, F.col("e").alias("at"), F.lit(None).cast(nodes.schema["s"].dataType).alias("begin"), "s")
+    rows = begins.unionByName(ends).withColumn("t", F.col("at.t")).withColumn("range", _range_of(cuts, "t"))
+    # going back in time; of equal places the beginning comes first only if it counts
+    first = F.col("begin").isNull() if not to_last else F.col("begin").isNotNull()
+    back = Window.partitionBy(*keys, "range").orderBy(F.desc("at"), F.desc(first)).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("n", F.last("begin", ignorenulls=True).over(back)).where("s is not null")
+    later = Window.partitionBy(*keys).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = rows.groupBy(*keys, "range").agg(F.min("begin").alias("low")).withColumn("low", F.last("low", ignorenulls=True).over(later))
+    out = _same(near.select(*keys, "range", "s", "n"), lows, [*keys, "range"])
+    return out.withColumn("n", F.coalesce("n", "low")).where("n is not null").select(*keys, "s", "n")
+
+
 def without_overlap(matches: DataFrame, q: Query, ties: int, to_last: bool) -> DataFrame:
     """Matches in the order of their heads, leaving out those that begin before the row after the last one taken
-    (past_last_row), or before its last row (to_last)."""
+    (past_last_row), or before its last row (to_last).
+
+    Every match knows the first one that may follow it.  The chain from each partition's first match is walked in rounds
+    that double its length: pointers are joined with themselves, and the matches reached so far with the pointers.  Each
+    round is a plain join and is written to the shared folder; there are as many as the logarithm of the longest chain."""
     keys, head, tail = partition(matches), q.variables[0], q.variables[-1]
-    start = [f"{head}__t", *[f"{head}__o{i}" for i in range(ties)]]
-    end = [f"{tail}__t", *[f"{tail}__o{i}" for i in range(ties)]]
-    slim = matches.select(*keys, *start, *end)
-
-    def pick(pdf):
-        pdf = pdf.sort_values(start)
-        keep, free = [], None
-        for a, b in zip(pdf[start].itertuples(index=False, name=None), pdf[end].itertuples(index=False, name=None), strict=True):
-            ok = free is None or a > free or (to_last and a == free)
-            keep.append(ok)
-            free = b if ok else free
-        return pdf[keep]
-
-    grouped = slim.groupBy(*keys) if keys else slim.groupBy(F.lit(0))
-    chosen = grouped.applyInPandas(lambda pdf: pick(pdf)[[*keys, *start, *end]], slim.schema)
-    renamed = chosen.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, *start])])
-    return matches.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*keys, *start])]), "left_semi")
+    at = lambda v: F.struct(F.col(f"{v}__t").alias("t"), *[F.col(f"{v}__o{i}").alias(f"o{i}") for i in range(ties)])
+    nodes = materialize(matches.select(*keys, at(head).alias("s"), at(tail).alias("e")).groupBy(*keys, "s").agg(F.min("e").alias("e")), "matches")
+    jump = materialize(_followers(nodes, keys, to_last), "jumps")
+    taken = nodes.groupBy(*keys).agg(F.min("s").alias("s"))
+    taken = materialize(taken.where("s is not null"), "taken")
+    n = taken.count()
+    while True:
+        more = _same(taken, jump, [*keys, "s"]).select(*keys, F.col("n").alias("s"))
+        taken = materialize(taken.unionByName(more).distinct(), "taken")
+        before, n = n, taken.count()
+        if n == before:
+            break
+        jump = materialize(_same(jump.select(*keys, F.col("s").alias("from"), F.col("n").alias("s")), jump, [*keys, "s"]).select(*keys, F.col("from").alias("s"), "n"), "jumps")
+    return _same(matches.withColumn("s", at(head)), taken, [*keys, "s"], "left_semi").drop("s")
 
 
 STRATEGY = {ANY: any_match, NEXT_ROW: next_row, NEXT_MATCH: next_match, STRICT: strict}

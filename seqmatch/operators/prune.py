@@ -49,11 +49,6 @@ def _intervals(cands: Candidates, q: Query, var: str) -> DataFrame:
     return iv.coalesce(iv.replay(cands[var], f"{var}__t", q.window_us, q.marker(var), keys), keys)
 
 
-def _slices(cands: Candidates, q: Query, var: str) -> DataFrame:
-    keys = partition(cands[var])
-    return iv.slice_set(iv.replay(cands[var], f"{var}__t", q.window_us, q.marker(var), keys), q.window_us, keys)
-
-
 def two_trips(cands: Candidates, q: Query) -> Candidates:
     """All intervals and key sets at once, intersected, then one fetch."""
     keys = partition(next(iter(cands.values())))
@@ -62,26 +57,33 @@ def two_trips(cands: Candidates, q: Query) -> Candidates:
     return {v: _keyed(inside | {o: cands[o] for o in q.variables if o != v}, q, v, [o for o in q.variables if o != v]) for v in q.variables}
 
 
-def one_by_one(cands: Candidates, q: Query, order: list[str], sliced: bool, keyed: bool = True, gate=None) -> Candidates:
+def one_by_one(cands: Candidates, q: Query, order: list[str]) -> Candidates:
     """Variable after variable: each is cut down to the time and keys that the ones before it left, and then cuts the
     time set itself; at the end all variables are cut to the final set.  The time set is looked at by every later step,
     so each is written to the shared folder once."""
     keys = partition(next(iter(cands.values())))
-    make = _slices if sliced else _intervals
     now = dict(cands)
-    allowed_time = materialize(make(now, q, order[0]), "times")
+    allowed_time = materialize(_intervals(now, q, order[0]), "times")
     done = [order[0]]
     for v in order[1:]:
-        if gate and not gate(v, done):
-            done.append(v)
-            continue
-        now[v] = iv.slice_filter(now[v], f"{v}__t", allowed_time, q.window_us, keys) if sliced else iv.contains(now[v], f"{v}__t", allowed_time, keys)
-        if keyed:
-            now[v] = _keyed(now, q, v, done)
-        mine = make(now, q, v)
-        allowed_time = materialize(iv.slice_and(allowed_time, mine, keys) if sliced else iv.intersect(allowed_time, mine, keys), "times")
+        now[v] = _keyed(now | {v: iv.contains(now[v], f"{v}__t", allowed_time, keys)}, q, v, done)
+        allowed_time = materialize(iv.intersect(allowed_time, _intervals(now, q, v), keys), "times")
         done.append(v)
-    return {v: iv.slice_filter(now[v], f"{v}__t", allowed_time, q.window_us, keys) if sliced else iv.contains(now[v], f"{v}__t", allowed_time, keys) for v in q.variables}
+    return {v: iv.contains(now[v], f"{v}__t", allowed_time, keys) for v in q.variables}
+
+
+def by_slices(cands: Candidates, q: Query, variables: list[str], keyed: bool) -> Candidates:
+    """All variables at once: one aggregation finds the slices of time that windows of each of ``variables`` touch, and
+    every variable keeps its rows in those; ``keyed`` also asks for the partners of equalities.  Nothing is written; the
+    plan's equal exchanges are made once."""
+    keys = partition(next(iter(cands.values())))
+    parts = [iv.slices(iv.replay(cands[v], f"{v}__t", q.window_us, q.marker(v), keys), q.window_us, keys).withColumn("who", F.lit(1 << i)) for i, v in enumerate(variables)]
+    touched = reduce(lambda a, b: a.unionByName(b), parts).groupBy("slice", *keys).agg(F.bit_or("who").alias("who"))
+    common = touched.where(F.col("who") == (1 << len(variables)) - 1).drop("who")
+    inside = {v: iv.slice_filter(cands[v], f"{v}__t", common, q.window_us, keys) for v in q.variables}
+    if not keyed:
+        return inside
+    return {v: _keyed(cands | {v: inside[v]}, q, v, [o for o in q.variables if o != v]) for v in q.variables}
 
 
 def by_join(cands: Candidates, q: Query, order: list[str], ties: int) -> Candidates:
@@ -104,9 +106,10 @@ def by_join(cands: Candidates, q: Query, order: list[str], ties: int) -> Candida
 
 
 def span_us(cands: Candidates) -> int:
-    lows = [df.agg(F.min(f"{v}__t").alias("a"), F.max(f"{v}__t").alias("b")).first() for v, df in cands.items()]
-    found = [r for r in lows if r["a"] is not None]
-    return max(1, max(r["b"] for r in found) - min(r["a"] for r in found)) if found else 1
+    """Length of the time that candidates cover, in one job."""
+    times = reduce(lambda a, b: a.unionByName(b), [df.agg(F.min(f"{v}__t").alias("a"), F.max(f"{v}__t").alias("b")) for v, df in cands.items()])
+    r = times.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
+    return max(1, r["b"] - r["a"]) if r["a"] is not None else 1
 
 
 def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts: dict[str, int] | None = None, model: cost.CostModel | None = None) -> Candidates:
@@ -119,21 +122,26 @@ def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts:
     if mode == JOIN:
         return by_join(cands, q, cost.join_plan(q, counts), ties)
     order = cost.filter_plan(q, counts)
+    if mode == SEQUENTIAL:
+        return one_by_one(cands, q, order)
+    chosen = list(order)
     if mode == ADAPTIVE:
         span, model = span_us(cands), model or cost.Adaptive()
-
-        def gate(v: str, done: list[str]) -> bool:
-            rarest = min(counts[d] for d in done)
-            equal = any(p.is_equality for d in done for p in q.between(v, d))
-            return model.worthwhile(cost.Reduction(counts[v], span, q.window_us, rarest / span, equal))
-
-        return one_by_one(cands, q, order, True, gate=gate)
-    return one_by_one(cands, q, order, mode in (SLICED, DUAL), keyed=mode != SLICED)
+        chosen = order[:1]
+        for v in order[1:]:
+            rarest = min(counts[d] for d in order[: order.index(v)])
+            equal = any(p.is_equality for d in order[: order.index(v)] for p in q.between(v, d))
+            if model.worthwhile(cost.Reduction(counts[v], span, q.window_us, rarest / span, equal)):
+                chosen.append(v)
+        if len(chosen) < 2:
+            return cands
+    return by_slices(cands, q, chosen, mode != SLICED)
 
 
 def report(df_cands: Candidates, q: Query, ties: int, modes: tuple[str, ...] = MODES) -> DataFrame:
     """Rows of each variable that each mode lets through to the match: (mode, variable, rows)."""
-    counts = {v: df.count() for v, df in df_cands.items()}
+    rows = reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(v).alias("v"), F.count(F.lit(1)).alias("n")) for v, df in df_cands.items()])
+    counts = {r["v"]: r["n"] for r in rows.collect()}
     parts = []
     for mode in modes:
         for v, df in reduce_candidates(df_cands, q, mode, ties, counts, cost.AlwaysOn()).items():

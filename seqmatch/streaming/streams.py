@@ -16,7 +16,7 @@ from ..operators import candidates
 from ..operators.match import condition
 from ..plans.ast import ANY, NEXT_ROW, STRICT, Query, QueryError
 from ..plans.parser import parse
-from .matcher import Matcher
+from .matcher import Matcher, known
 
 
 def _kept(condition_: Column, time: str) -> Column:
@@ -92,7 +92,7 @@ def match_stream(stream: DataFrame, query: str | Query, strategy: str = NEXT_ROW
         held = [r for r in held if r["__t"] > now]
         found = []
         for r in ready:
-            row = {k.lower() if not k.startswith("__") else k: v for k, v in r.items() if not k.startswith("__is_")}
+            row = {k.lower() if not k.startswith("__") else k: known(v) for k, v in r.items() if not k.startswith("__is_")}
             for m in matcher.push(row, [r[f] for f in flags]):
                 found.append([x[c] for x in m for c in own])
         matcher.expire(now)

@@ -191,3 +191,26 @@ def test_many_clients(spark):
     assert list(run_many(spark, jobs).values()) == [2, 2, 2, 1]
     with pytest.raises(QueryError):
         run_many(spark, {**jobs, "bad": lambda: match_recognize(df, sql("AB"), "no such", unit="s")})
+
+
+@pytest.mark.parametrize("partition", [True, False])
+@pytest.mark.parametrize("skip", ["SKIP PAST LAST ROW", "SKIP TO LAST C"])
+def test_skips_leave_no_overlap(spark, skip, partition):
+    r = random.Random(3)
+    rows = [(i, i // 3, r.choice(["x", "x", "x", "y", None]), r.choice("ABCD"), float(r.randrange(4))) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # a C with v >= 2 can be an A as well, so SKIP TO LAST differs from SKIP PAST LAST ROW
+    text = f"SELECT * FROM t MATCH_RECOGNIZE({'PARTITION BY p ' if partition else ''}ORDER BY ts, event_id MEASURES A.event_id AS a, B.event_id AS b, C.event_id AS c AFTER MATCH {skip} PATTERN (A N1*? B N2*? C) WITHIN INTERVAL '10' SECOND DEFINE A AS A.type = 'A' OR (A.type = 'C' AND A.v >= 2), B AS B.type = 'B', C AS C.type = 'C')"
+    every = [tuple(x) for x in match_recognize(df, text.replace(skip, "SKIP TO NEXT ROW"), unit="s").collect()]
+    place = {i: (t, i) for i, t, *_ in rows}
+    part = {i: p if partition else 0 for i, _, p, *_ in rows}
+    want = []
+    for p in set(part.values()):
+        free = None
+        for m in sorted((m for m in every if part[m[0]] == p), key=lambda m: place[m[0]]):
+            if free is None or place[m[0]] > free or ("LAST C" in skip and place[m[0]] == free):
+                want.append(m)
+                free = place[m[2]]
+    got = sorted(tuple(x) for x in match_recognize(df, text, unit="s").collect())
+    assert got == sorted(want) and 3 < len(got) < len(every)
+    assert match_recognize(df.limit(0), text, unit="s").count() == 0
