@@ -1,16 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame and SQL functions only.
 
 A paragraph is a line, or a sentence of one: texts are cut at line breaks and at each blank after a full stop, whatever
-comes next.  A text is the set of its paragraphs' 64-bit digests.  A sketch has three groups of cells; a digest is added
-to one cell of each group.  A cell holds how many digests it has, their exclusive or, and that of their checksums.
+comes next.  A text is the set of its paragraphs' 64-bit digests.  Its sketch has three groups of cells; a digest is
+added to one cell of each group.  A cell holds how many digests it has, their exclusive or, and that of their checksums.
 
-Two sketches of one size are subtracted by adding the one text's digests with sign 1 and the other's with -1 to the same
-cells, which leaves the digests that only one text has.  *Peeling* takes out digests that stand alone in a cell, one
-group of cells after the other, for some rounds; what a cell of one group gives up is subtracted from its cells in the
-others.  Pairs whose cells are not empty at the end are tried again with a table that is larger and hashed anew.
+The fingerprint of a text is its sketch of CELLS cells, whatever the text's length.  Two sketches are subtracted cell
+by cell, which leaves the digests that only one of the texts has.  *Peeling* takes out digests that stand alone in a
+cell, one group of cells after the other, for some rounds; what a cell of one group gives up is subtracted from its
+cells in the others.  The digests taken out are the difference.  Where cells are left, both texts are sketched again
+with more cells, hashed anew, until peeling empties them.
 
-Cells are rows (pair, cell, count, key, checksum), empty ones left out, and a round is one ``explode`` and one
-aggregation by cell.  The digests are dealt by pair once; all rounds keep that dealing, so cells never travel.
+Cells are rows (id, side or pair, cell, count, key, checksum), empty ones left out, and a round is one ``explode`` and
+one aggregation by cell.  The digests are dealt by id once; all rounds keep that dealing, so cells never travel.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GROUPS, BASE_BITS, ROUNDS, MAX_BITS = 3, 4, 4, 40
+CELLS = GROUPS << BASE_BITS
+RANGES, MOST_RANGES = 8, 1 << 14
 PARAGRAPH = "\\n|(?<=[.]) "
-EDITED, NEXT = 0, 1
-MINE, OTHER = -1, -2
+FOUND = -(1 << 63)
 
 
 def digests(text: str) -> Column:
@@ -44,70 +46,92 @@ def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.where("c <> 0 or k <> 0 or h <> 0")
 
 
-KEYS = ["id", "kind", "bits", "trial"]
+def sketches(texts: DataFrame) -> DataFrame:
+    """Cells (id, side, bits, trial, cell, c, k, h) of texts (id, side, bits, trial, d), d being an array of digests."""
+    keys = ["id", "side", "bits", "trial"]
+    rows = texts.select(*keys, F.explode("d").alias("k")).select(*keys, "k", F.lit(1).cast("long").alias("c"), F.xxhash64("k").alias("h"))
+    places = F.array(*[cell_of(F.col("k"), g, F.col("bits"), F.col("trial")) for g in range(GROUPS)])
+    return _summed(rows.withColumn("cell", F.explode(places)), keys)
 
 
-def insert(pairs: DataFrame) -> DataFrame:
-    """Cells of pairs (id, kind, bits, trial, a, b): the digests of a added, those of b subtracted."""
-    signed = F.concat(F.transform("a", lambda x: F.struct(x.alias("k"), F.lit(1).cast("long").alias("c"))), F.transform("b", lambda x: F.struct(x.alias("k"), F.lit(-1).cast("long").alias("c"))))
-    rows = pairs.select(*KEYS, F.explode(signed).alias("x")).select(*KEYS, "x.k", "x.c", F.xxhash64("x.k").alias("h"))
-    places = F.array(*[cell_of(F.col("k"), g, F.col("bits"), F.col("trial")) for g in range(GROUPS)])
-    return _summed(rows.withColumn("cell", F.explode(places)), KEYS)
+PAIR = ["id", "pair", "bits", "trial"]
+
+
+def subtract(cells: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Cells of the first less those of the second side of each pair, one pair for each entry of ``pairs``; both sides
+    have sketches of one size."""
+    sides = {s for p in pairs for s in p}
+    uses = {s: F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(1 if p[0] == s else -1).alias("sign")) for i, p in enumerate(pairs) if s in p]) for s in sides}
+    use = F.lit(None)
+    for s, u in uses.items():
+        use = F.when(F.col("side") == s, u).otherwise(use)
+    rows = cells.select("*", F.explode(use).alias("use"))
+    return _summed(rows.select("id", "use.pair", "bits", "trial", "cell", (F.col("c") * F.col("use.sign")).alias("c"), "k", "h"), PAIR)
 
 
 def peel(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, kind, bits, trial, mine, other, ok): how many digests each side alone has, and whether all cells were emptied.
+    """(id, pair, bits, trial, mine, other, ok): the digests that only the first and only the second side has, and whether
+    all cells were emptied.
 
-    In the turn of a group each key is in one cell of it, so none is taken twice.  Keys taken are counted in two cells
-    of their own, MINE and OTHER."""
+    In the turn of a group each key is in one cell of it, so none is taken twice.  A key that is taken out becomes a row
+    of its own, under a negative cell number."""
     for turn in range(rounds * GROUPS):
         g = turn % GROUPS
         alone = (F.col("cell") >= 0) & (F.col("cell") % GROUPS == g) & (F.abs("c") == 1) & (F.col("h") == F.xxhash64("k"))
 
-        def row(cell: Column, c: Column, k: Column, h: Column) -> Column:
-            return F.struct(cell.cast("long").alias("cell"), c.cast("long").alias("c"), k.alias("k"), h.alias("h"))
+        def row(cell: Column, c: Column, h: Column) -> Column:
+            return F.struct(cell.cast("long").alias("cell"), c.cast("long").alias("c"), h.alias("h"))
 
-        none = F.lit(0).cast("long")
-        found = row(F.when(F.col("c") == 1, MINE).otherwise(OTHER), F.lit(1), none, none)
-        given = [row(cell_of(F.col("k"), o, F.col("bits"), F.col("trial")), -F.col("c"), F.col("k"), F.col("h")) for o in range(GROUPS) if o != g]
-        stays = row(F.col("cell"), F.col("c"), F.col("k"), F.col("h"))
-        cells = _summed(cells.select(*KEYS, F.explode(F.when(alone, F.array(found, *given)).otherwise(F.array(stays))).alias("x")).select(*KEYS, "x.*"), KEYS)
-    count = lambda which: F.coalesce(F.sum(F.when(F.col("cell") == which, F.col("c"))), F.lit(0)).cast("long")
-    return cells.groupBy(*KEYS).agg(count(MINE).alias("mine"), count(OTHER).alias("other"), (F.count_if(F.col("cell") >= 0) == 0).alias("ok"))
+        taken = row(F.col("k").bitwiseOR(F.lit(FOUND)), F.col("c"), F.lit(0).cast("long"))
+        given = [row(cell_of(F.col("k"), o, F.col("bits"), F.col("trial")), -F.col("c"), F.col("h")) for o in range(GROUPS) if o != g]
+        stays = row(F.col("cell"), F.col("c"), F.col("h"))
+        cells = _summed(cells.select(*PAIR, "k", F.explode(F.when(alone, F.array(taken, *given)).otherwise(F.array(stays))).alias("x")).select(*PAIR, "k", "x.*"), PAIR)
+    side = lambda sign: F.array_sort(F.collect_list(F.when((F.col("cell") < 0) & (F.col("c") == sign), F.col("k"))))
+    return cells.groupBy(*PAIR).agg(side(1).alias("mine"), side(-1).alias("other"), (F.count_if(F.col("cell") >= 0) == 0).alias("ok"))
 
 
-def differences(sets: DataFrame, what: str = "differences") -> DataFrame:
-    """(id, kind, mine, other) for rows (id, kind, expected, a, b), a and b arrays of digests.
+def differences(sets: DataFrame, pairs: list[tuple[str, str]], what: str = "differences") -> DataFrame:
+    """(id, pair, mine, other): the differing digests of each pair of columns of ``sets`` (id and arrays of digests).
 
-    ``expected`` is a guess of the number of differing digests: the first table has that many cells in each group or
-    more.  Pairs that fail are tried again with eight times as many.  Pairs without a difference are not in the result."""
+    The first trial subtracts the fingerprints' sketches.  Pairs that fail are tried again with sketches of eight times
+    as many cells, or three for each digest if that is more; a table is written for each trial.  Pairs without a
+    difference are not in the result."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = F.least(F.lit(MAX_BITS), F.greatest(F.lit(BASE_BITS), F.ceil(F.log2(F.greatest(F.col("expected"), F.lit(1)).cast("double")))).cast("int"))
-    sets = sets.withColumns({"bits": bits, "trial": F.lit(0)})
+    names = sorted({c for p in pairs for c in p})
+    numbered = [tuple(names.index(c) for c in p) for p in pairs]
     done: list[DataFrame] = []
+    texts = sets.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.lit(BASE_BITS).alias("bits"), F.col(c).alias("d")) for i, c in enumerate(names)])).alias("x"))
+    trial = 0
     while True:
-        result = materialize(peel(insert(sets.repartition(parts, "id"))), what)
-        done.append(result.where("ok"))
-        failed = result.where("not ok")
+        dealt = texts.select("id", "x.side", "x.bits", F.lit(trial).alias("trial"), "x.d").repartition(parts, "id")
+        if trial:  # sides are numbered by pair: 2 i and 2 i + 1
+            cells = subtract(sketches(dealt), [(2 * i, 2 * i + 1) for i in range(len(pairs))])
+        else:
+            cells = subtract(sketches(dealt), numbered)
+        result = materialize(peel(cells), what)
+        done.append(result.where("ok").select("id", "pair", "mine", "other"))
+        failed = result.where("not ok").select(F.col("id").alias("__id"), "pair")
         if not failed.head(1):
-            return reduce(lambda a, b: a.unionByName(b), done).select("id", "kind", "mine", "other")
-        again = failed.select(F.col("id").alias("__id"), F.col("kind").alias("__kind"))
-        sets = sets.join(again, (F.col("id") == F.col("__id")) & (F.col("kind") == F.col("__kind")), "left_semi")
-        sets = sets.withColumns({"bits": F.least(F.lit(MAX_BITS), F.col("bits") + 3), "trial": F.col("trial") + 1})
+            return reduce(lambda a, b: a.unionByName(b), done)
+        trial += 1
+        again = sets.join(failed, F.col("id") == F.col("__id"))
+        left, right = (F.coalesce(*[F.when(F.col("pair") == i, F.col(p[j])) for i, p in enumerate(pairs)]) for j in (0, 1))
+        again = again.select("id", "pair", left.alias("l"), right.alias("r"))
+        bits = F.greatest(F.lit(BASE_BITS + 3 * trial), F.ceil(F.log2((F.size("l") + F.size("r") + 1).cast("double"))) + (trial - 1)).cast("int")
+        bits = F.least(F.lit(MAX_BITS), bits)
+        texts = again.select("id", F.explode(F.array(*[F.struct((2 * F.col("pair") + j).alias("side"), bits.alias("bits"), F.col(c).alias("d")) for j, c in enumerate("lr")])).alias("x"))
 
 
 def printed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(id, one text for each entry of ``columns``): name -> column of digests.  A fingerprint is the number of digests
-    and the base sketch: cell, count and key of each cell that is not empty."""
-    entries = [F.expr(f"transform(`{c}`, x -> named_struct('kind', {i}, 'k', x))") for i, c in enumerate(columns.values())]
-    one = rows.select("id", F.explode(F.concat(*entries)).alias("x")).select("id", F.col("x.kind").alias("kind"), F.lit(BASE_BITS).alias("bits"), F.lit(0).alias("trial"), F.col("x.k").alias("k"), F.lit(1).cast("long").alias("c"), F.xxhash64("x.k").alias("h"))
-    places = F.array(*[cell_of(F.col("k"), g, F.col("bits"), F.col("trial")) for g in range(GROUPS)])
-    cells = _summed(one.withColumn("cell", F.explode(places)), KEYS)
+    and the first trial's sketch: cell, count, key and checksum of each cell that is not empty."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("d")) for i, c in enumerate(columns.values())])
+    cells = sketches(rows.select("id", F.explode(sides).alias("x")).select("id", "x.side", F.lit(BASE_BITS).alias("bits"), F.lit(0).alias("trial"), "x.d"))
 
     def text(i: int) -> Column:
-        mine = F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("cell", "c", "k"))))
+        mine = F.array_sort(F.collect_list(F.when(F.col("side") == i, F.struct("cell", "c", "k", "h"))))
         total = F.aggregate(mine, F.lit(0).cast("long"), lambda z, x: z + F.when(x["cell"] % GROUPS == 0, x["c"]).otherwise(0))
-        return F.concat_ws(";", total, F.array_join(F.transform(mine, lambda x: F.concat_ws(".", x["cell"], x["c"], F.hex(x["k"]))), ","))
+        return F.concat_ws(";", total, F.array_join(F.transform(mine, lambda x: F.concat_ws(".", x["cell"], x["c"], F.hex(x["k"]), F.hex(x["h"]))), ","))
 
     return cells.groupBy("id").agg(*[text(i).alias(name) for i, name in enumerate(columns)])
 
@@ -116,13 +140,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text, id: the text of the next document in the order of doc_id, of the first after the last,
     and a number of the row.
 
-    Rows are dealt to ranges between quantiles of doc_id, each sorted in its own task; every range also gets the first
-    row of the range after it.  The driver sees two numbers for each range.  A null doc_id comes first; rows with one
+    Rows are dealt to ranges between quantiles of doc_id, RANGES for each shuffle partition so that hashing them to
+    partitions leaves those even, each sorted in its own task; every range also gets the first row of the range after
+    it.  The driver sees two numbers for each range, of which there are MOST_RANGES at most.  A null doc_id comes first; rows with one
     doc_id are in the order of their texts; a null text counts as empty.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_RANGES, RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     steps = [1 << i for i in reversed(range(max(1, len(cuts).bit_length())))]
     padded = [*cuts, *[None] * (2 * steps[0] - len(cuts))]
@@ -146,26 +171,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fingerprints, and the likeness of the text to the edited one and to the next document: the Jaccard similarity of
     their digests, from the difference of their sketches.
 
-    A null or empty text is one empty paragraph, an empty table gives no rows, equal texts have equal fingerprints.
+    ``removed`` and ``added`` are the digests that peeling recovered of the edit.
+
+    A null or empty text is one empty paragraph, an empty table gives no rows, equal texts have equal fingerprints.  Rows
+    that repeat a doc_id follow each other.  Of a very long text all digests are one row's array.  Other columns of
+    ``docs``, however named, are not read.
     """
     n = F.char_length("text").cast("long")
-    rows = with_next(docs).withColumn("n_chars", n).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next_text, 1, cast(n_chars div 4 as int)))"))
+    rows = with_next(docs.select("doc_id", "text")).withColumn("n_chars", n).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next_text, 1, cast(n_chars div 4 as int)))"))
     rows = rows.select("id", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("a"), digests("edited").alias("e"), digests("next_text").alias("x"))
     rows = materialize(rows, "digests")
-    kinds = F.array(
-        F.struct(F.lit(EDITED).alias("kind"), F.ceil(0.6 * F.greatest(F.size("a"), F.size("e"))).alias("expected"), F.col("e").alias("b")),
-        F.struct(F.lit(NEXT).alias("kind"), (F.size("a") + F.size("x")).cast("long").alias("expected"), F.col("x").alias("b")),
-    )
-    found = differences(rows.select("id", "a", F.explode(kinds).alias("y")).select("id", "a", "y.*"))
-    side = lambda kind, what: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(what))), F.lit(0))
-    found = found.groupBy("id").agg(*[side(k, w).alias(f"{w}{k}") for k in (EDITED, NEXT) for w in ("mine", "other")])
+    found = differences(rows.select("id", "a", "e", "x"), [("a", "e"), ("a", "x")])
+    of = lambda pair, column: F.first(F.when(F.col("pair") == pair, F.col(column)), ignorenulls=True)
+    counted = found.withColumns({"m": F.size("mine"), "o": F.size("other")})
+    found = counted.groupBy("id").agg(of(0, "mine").alias("removed"), of(0, "other").alias("added"), *[of(i, c).alias(f"{c}{i}") for i in (0, 1) for c in "mo"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "id")
     made = printed(dealt.select("id", "a", "e"), {"fingerprint": "a", "edited_fingerprint": "e"})
     out = dealt.select("id", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("na")).join(made, "id").join(found, "id", "left")
+    none = F.array().cast("array<bigint>")
 
-    def likeness(kind: int) -> Column:
-        mine, other = (F.coalesce(F.col(f"{w}{kind}"), F.lit(0)) for w in ("mine", "other"))
+    def likeness(pair: int) -> Column:
+        mine, other = (F.coalesce(F.col(f"{c}{pair}"), F.lit(0)) for c in "mo")
         return (F.col("na") - mine) / (F.col("na") + other).cast("double")
 
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(EDITED).alias("near_edited"), likeness(NEXT).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(0).alias("near_edited"), likeness(1).alias("near_next"), F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"))

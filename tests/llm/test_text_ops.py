@@ -445,10 +445,36 @@ def test_paragraphs_do_not_depend_on_the_alphabet(spark):
     assert math.isclose(out[1].near_edited, len(edited & set(sentences)) / len(edited | set(sentences))) and out[1].near_edited > 0
 
 
+def plain_sketch(spark, texts):
+    """The cells by the definition: 48, in three groups of 16, one of each group for a digest."""
+    keys = sorted({p for t in texts for p in re.split(r"\n|(?<=[.]) ", t)})
+    rows = spark.createDataFrame([(k,) for k in keys], "p string").select("p", F.xxhash64("p").alias("k")).select("p", "k", F.xxhash64("k").alias("h"), *[F.xxhash64(F.lit(g), F.lit(0), "k").alias(f"g{g}") for g in range(3)]).collect()
+    of = {r.p: r for r in rows}
+    for t in texts:
+        cells = {}
+        for p in set(re.split(r"\n|(?<=[.]) ", t)):
+            for g in range(3):
+                cell = (of[p][f"g{g}"] & 15) * 3 + g
+                c, k, h = cells.get(cell, (0, 0, 0))
+                cells[cell] = c + 1, k ^ of[p].k, h ^ of[p].h
+        word = lambda x: format(x & (2**64 - 1), "X")
+        yield f"{len(set(re.split(chr(10) + '|(?<=[.]) ', t)))};" + ",".join(f"{cell}.{c}.{word(k)}.{word(h)}" for cell, (c, k, h) in sorted(cells.items())), {of[p].k for p in re.split(r"\n|(?<=[.]) ", t)}
+
+
+def test_fingerprints_and_recovered_digests_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = ["\n".join(prose(r, "en", r.randrange(1, 9)) for _ in range(n)) for n in (0, 1, 5, 20, 90, 300, 2)] + ["", "same\nsame\n\n"]
+    out = sorted(iblt.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    edited = [t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4] for i, t in enumerate(texts)]
+    for x, (mine, a), (new, e) in zip(out, plain_sketch(spark, texts), plain_sketch(spark, edited), strict=True):
+        assert x.fingerprint == mine and x.edited_fingerprint == new
+        assert x.removed == sorted(a - e) and x.added == sorted(e - a)
+
+
 def test_sketches_retry_larger(spark):
-    sets = spark.createDataFrame([(1, 0, 1, list(range(500)), list(range(250, 900))), (2, 0, 1, [7], [7])], "id long, kind int, expected long, a array<long>, b array<long>")
-    out = iblt.differences(sets).collect()
-    assert [(x.id, x.mine, x.other) for x in out] == [(1, 250, 400)]
+    sets = spark.createDataFrame([(1, list(range(500)), list(range(250, 900)), [1]), (2, [7], [7], [8]), (3, [], [], [])], "id long, a array<long>, b array<long>, c array<long>")
+    out = {(x.id, x.pair): (x.mine, x.other) for x in iblt.differences(sets, [("a", "b"), ("a", "c")]).collect()}
+    assert out == {(1, 0): (list(range(250)), list(range(500, 900))), (1, 1): ([0, *range(2, 500)], []), (2, 1): ([7], [8])}
 
 
 def test_blocks():
