@@ -16,20 +16,25 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``edges``: columns u and v of one orderable type.  Returns (node, root), root the smallest node it reaches.
 
     Each round's edges are distinct, are written to the shared folder, and never outnumber the round's nodes by more
-    than the edges that came in; the number of rounds grows with the logarithm of the longest path.
+    than the edges that came in; the number of rounds grows with the logarithm of the longest path.  The least
+    neighbours are aggregated with map-side combination and written, so that they and the edges meet in a plain join
+    of two shuffled sides, whose hot nodes (the middle of a large star) adaptive execution splits over tasks.
     Self-loops are dropped; an empty table gives an empty result.
     """
+
+    def least(rows: DataFrame) -> DataFrame:
+        low = materialize(rows.groupBy("u").agg(F.min("v").alias("m")), what)
+        return low.hint("merge")  # it grows with the input: never broadcast
+
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), what)
     seen = _print_of(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, what)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        now, before = materialize(small, what), seen
+        near = both.join(least(both), "u").withColumn("m", F.least("u", "m"))
+        large = materialize(near.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), what)
+        near = large.join(least(large), "u")
+        pairs = F.array_compact(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.when(F.col("v") != F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        now, before = materialize(near.select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct(), what), seen
         seen = _print_of(now)
         if seen == before:
             break

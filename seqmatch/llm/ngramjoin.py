@@ -20,17 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, text_buffer, without
+from .common import free_names, hash128, materialize, text_buffer
 from .components import components
 from .shingles import U, mix, shingle_sets
 
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 20, 3
 STEP = 12
-BUCKET_BLOCK, VERIFY_BLOCK = 1024, 256
+BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 1024, 1024, 1 << 20
+WORDS = 1 << 18
 WORD = "[^ \\t-\\r]"
 _rng = np.random.RandomState(20240229)
 _A = (_rng.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -153,15 +154,37 @@ def _bounds(t: pa.Table, key: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), t.num_rows)
 
 
-def _dealt(rows: DataFrame, key: list[str], node: list[str], size: str, block: int) -> DataFrame:
-    """Give each row of a group of ``size`` rows its place in pairs of blocks: unit_i <= unit_j, and side 0 or 1.
+def _dealt(rows: DataFrame, node: list[str], n_blocks: Column) -> DataFrame:
+    """Give each row of a group of ``n_blocks`` blocks its place in pairs of blocks: unit_i <= unit_j, and side 0 or 1.
 
-    A group of up to ``block`` rows is one unit (0, 0).  A larger one has ceil(size / block) blocks, filled by a hash
-    of the node; block i meets block j once, so a row goes to as many units as there are blocks."""
-    n_blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit("block"), *node), n_blocks).cast("int")
-    rows = rows.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    return rows.select("*", F.least("__mine", "__other").alias("unit_i"), F.greatest("__mine", "__other").alias("unit_j"), (F.col("__mine") > F.col("__other")).cast("int").alias("side")).drop("__mine", "__other")
+    A group of one block is one unit (0, 0).  Blocks are filled by a hash of the node; block i meets block j once, so a
+    row goes to as many units as there are blocks."""
+    rows = rows.withColumn("__blocks", n_blocks.cast("int")).withColumn("__mine", F.pmod(F.xxhash64(F.lit("block"), *node), F.col("__blocks")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return rows.select("*", F.least("__mine", "__other").alias("unit_i"), F.greatest("__mine", "__other").alias("unit_j"), (F.col("__mine") > F.col("__other")).cast("int").alias("side")).drop("__mine", "__other", "__blocks")
+
+
+def _bits(hashes: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of the numbers ``h``, at most WORDS rows however many there are."""
+    return materialize(hashes.groupBy(_word("h").alias("word")).agg(F.bit_or(_bit("h")).alias("bits")), "bitmap")
+
+
+def _word(h: str) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(WORDS)).cast("int")
+
+
+def _bit(h: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+
+
+def _may_be_in(rows: DataFrame, h: str, bitmap: DataFrame, name: str) -> DataFrame:
+    """Add the boolean column ``name``: false only where the number ``h`` is none of the bitmap's.
+
+    The bitmap is broadcast: its bound is WORDS rows of 12 bytes.  Most rows of a corpus are none of those looked for,
+    and so stay where they are; where the bitmap is full, all rows go the way of those that may be in it."""
+    word, bits = free_names(rows, "__word", "__bits")
+    bitmap = bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    return rows.join(F.broadcast(bitmap), _word(f"`{h}`") == F.col(word), "left").withColumn(name, F.coalesce(F.col(bits).bitwiseAND(_bit(f"`{h}`")) != 0, F.lit(False))).drop(word, bits)
 
 
 def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -170,7 +193,7 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
     banded = nodes.select("k1", "k2", F.explode(F.expr(f"array({band})")).alias("band"))
     full = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     meet = banded.join(full.hint("merge"), "band")  # the list of buckets grows with the input: never broadcast
-    meet = _dealt(meet, ["band"], ["k1", "k2"], "size", BUCKET_BLOCK)
+    meet = _dealt(meet, ["k1", "k2"], F.ceil(F.col("size") / F.lit(BUCKET_BLOCK))).drop("size")
     meet = meet.join(nodes.select("k1", "k2", "sig"), ["k1", "k2"])
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = meet.repartition(parts, "band", "unit_i", "unit_j").sortWithinPartitions("band", "unit_i", "unit_j").select("band", "unit_i", "unit_j", "side", "k1", "k2", "sig")
@@ -247,12 +270,14 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
     """Exact links within each group: rows (u, v, texts, rows) - an edge of a forest, or (u, null) with u's links."""
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    member = groups.join(sizes, "root").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "size").join(nodes.select("k1", "k2", "copies", "rep", "rep1", "rep2"), ["k1", "k2"])
+    member = groups.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2")).join(nodes.drop("sig").hint("merge"), ["k1", "k2"])
     member = materialize(member, "members")
+    sizes = materialize(member.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams")), "sizes")
     t1, t2 = hash128("text")
+    chosen = member.select(F.col("rep").alias("__rep"), "rep1", "rep2")
     texts = docs.where(F.col("text").rlike(WORD)).select("doc_id", t1.alias("rep1"), t2.alias("rep2"), "text")
-    chosen = member.select(F.col("rep").alias("__rep"), "rep1", "rep2").hint("merge")  # it grows with the input: never broadcast
+    texts = _may_be_in(texts, "rep1", _bits(chosen.select(F.col("rep1").alias("h"))), "__in").where("__in")
+    chosen = chosen.hint("merge")  # it grows with the input: never broadcast
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__rep")) & (texts["rep1"] == chosen["rep1"]) & (texts["rep2"] == chosen["rep2"]), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +291,8 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, thr
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([x.tobytes() for x in np.split(h, first[1:])], pa.binary())], names=["k1", "k2", "grams"])
 
     grams = texts.mapInArrow(sets, "k1 long, k2 long, grams binary").dropDuplicates(["k1", "k2"])
-    rows = _dealt(member.drop("rep", "rep1", "rep2"), ["r1", "r2"], ["k1", "k2"], "size", VERIFY_BLOCK).join(grams, ["k1", "k2"])
+    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(VERIFY_BLOCK), F.col("grams") / F.lit(VERIFY_GRAMS)))
+    rows = _dealt(member.drop("rep", "rep1", "rep2", "n").join(sizes.hint("merge"), ["r1", "r2"]), ["k1", "k2"], n_blocks).drop("size", "grams").join(grams, ["k1", "k2"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["r1", "r2", "unit_i", "unit_j"]
     rows = rows.repartition(parts, *key).sortWithinPartitions(*key).select(*key, "side", "k1", "k2", "copies", "grams")
@@ -315,19 +341,20 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     * rows with one doc_id and text are copies of each other; only their class says so, all have the same keeper mark.
     * a class in which all doc_id are null has a null class_id.
     """
-    docs = without(docs, "t1", "t2")
+    docs = docs.select("doc_id", "text")
     sigs = materialize(signatures(docs, width), "signatures")
     by_rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("t1").alias("rep1"), F.col("t2").alias("rep2"))
-    nodes = sigs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(by_rep).alias("low"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes.select("k1", "k2", "copies", "low.rep", "low.rep1", "low.rep2", "sig"), "nodes")
+    nodes = sigs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(by_rep).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes.select("k1", "k2", "copies", "n", "low.rep", "low.rep1", "low.rep2", "sig"), "nodes")
     groups = components(candidates(nodes, threshold, tolerance), "candidate-groups")
     links = verify(docs, nodes, groups, width, threshold)
     numbers = links.groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("linked"))
     forest = links.where("a1 <> b1 or a2 <> b2").select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("u"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("v"))
     roots = components(forest, "classes").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root")
-    named = nodes.drop("sig").join(numbers, ["k1", "k2"], "left").join(roots, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", F.struct("k1", "k2")))
-    low = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep1", "rep2")).alias("low"))
-    named = materialize(named.join(low, "root").select("k1", "k2", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("linked", F.lit(0)).alias("linked"), "low"), "classes")
+    named = nodes.drop("sig", "n").join(numbers, ["k1", "k2"], "left").join(roots, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", F.struct("k1", "k2")))
+    named = materialize(named, "named")
+    low = materialize(named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep1", "rep2")).alias("low")), "lowest")
+    named = materialize(named.join(low.hint("merge"), "root").select("k1", "k2", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("linked", F.lit(0)).alias("linked"), "low"), "classes")
     mine = F.col("doc_id").eqNullSafe(F.col("low.rep")) & (F.col("t1") == F.col("low.rep1")) & (F.col("t2") == F.col("low.rep2"))
     out = sigs.drop("sig", "n").join(named, ["k1", "k2"]).select("doc_id", "t1", "t2", F.col("low.rep").alias("class_id"), (F.col("copies") - 1 + F.col("linked")).alias("n_links"), F.col("texts").alias("n_text_links"), mine.alias("keeper"))
     t1, t2 = hash128("text")
@@ -336,13 +363,19 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs`` without those that another document stands for; texts without words all stay."""
-    names = docs.columns
-    docs = without(docs, "__t1", "__t2")
-    t1, t2 = hash128("text")
-    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    keepers = classes(docs, width, threshold, tolerance).where("keeper").select(F.col("doc_id").alias("__doc"), F.col("t1").alias("__k1"), F.col("t2").alias("__k2"))
-    rows = docs.where(worded).withColumns({"__t1": t1, "__t2": t2})
-    kept = rows.join(keepers, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "__t1", "__t2"])
-    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(~worded)).select(*[f"`{c}`" for c in names])
+    """The rows of ``docs`` without those that another document stands for; texts without words all stay.
+
+    Rows that repeat a doc_id and its text become one.  Only rows whose text may be one of those to go, or of a repeated
+    row, are shuffled; all others stay where they are.  All columns, however named, pass through.  A very long text is
+    hashed window by window; nulls, empty texts and ties are as in ``classes``."""
+    t1, t2, gone, u1, u2, in_ = free_names(docs, "__t1", "__t2", "__doc", "__u1", "__u2", "__in")
+    of_text = hash128("text")
+    found = classes(docs, width, threshold, tolerance)
+    repeated = found.where(F.col("t1").isNotNull()).groupBy("doc_id", "t1", "t2", "keeper").agg(F.count(F.lit(1)).alias("n")).where("not keeper or n > 1")
+    special = materialize(repeated.select("doc_id", "t1", "t2", "keeper"), "special")
+    rows = _may_be_in(docs.withColumns({t1: of_text[0], t2: of_text[1]}), t1, _bits(special.select(F.col("t1").alias("h"))), in_)
+    rows = rows.withColumn(in_, F.col(in_) & F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    drop = special.where("not keeper").select(F.col("doc_id").alias(gone), F.col("t1").alias(u1), F.col("t2").alias(u2)).hint("merge")  # it grows with the input: never broadcast
+    kept = rows.where(F.col(in_)).join(drop, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(t1) == F.col(u1)) & (F.col(t2) == F.col(u2)), "left_anti")
+    names = [f"`{c}`" for c in docs.columns]
+    return rows.where(~F.col(in_)).select(*names).unionByName(kept.dropDuplicates(["doc_id", t1, t2]).select(*names))
