@@ -8,8 +8,11 @@ whole runs of equal pieces at a time; pieces then find their places by their ran
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +20,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, without
+from .common import free_names, materialize, without
 
 CAPACITY = 2048
 SEPARATOR = 0
-SALTS = 64
+GROUPS, GROUP_ROWS = 1 << 16, 1_000
 _SLICE = 1 << 20
+_CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+_KNOWN, _SHORT = 1 << 18, 64
 
 
 def tokenizer(path: str | None = None):
     """Encoder of the byte-level vocabulary in ``path`` (the public 50k file by default); ``encode(text) -> ids``.
 
-    ``path`` may be a ``.json`` for the tokenizers library or a ``.tiktoken`` rank file of the same vocabulary, which
-    gives the same ids about four times as fast."""
+    The ids come from the tokenizers library, which sees each text in parts: it is cut before every blank between two
+    word characters or marks, where this vocabulary's rules end a token whatever follows.  The ids of up to _KNOWN
+    short parts are kept, so most parts of a text cost a lookup.  A ``.tiktoken`` rank file of the same vocabulary
+    goes to tiktoken instead."""
     import public_tokenizers as P
 
-    path = path or P.path("byte_bpe_50k.tiktoken")
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+    path = path or P.path("byte_bpe_50k.json")
+    if path.endswith(".tiktoken"):
+        import tiktoken
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return lambda text: t.encode(text, add_special_tokens=False).ids
-    import tiktoken
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # workers are forked, and tasks have a core each
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    known: dict[str, list[int]] = {}
+
+    def encode(text: str) -> list[int]:
+        parts = _CUT.split(text)
+        fresh = [p for p in dict.fromkeys(parts) if p not in known]
+        if len(known) + len(fresh) > _KNOWN:
+            known.clear()
+            fresh = list(dict.fromkeys(parts))
+        known.update(zip(fresh, (e.ids for e in t.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+        out = list(chain.from_iterable(map(known.__getitem__, parts)))
+        for p in fresh:
+            if len(p) > _SHORT:
+                del known[p]
+        return out
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -190,23 +213,29 @@ class Plan:
 def place(parts: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length``.
 
-    Ranks among pieces of one length come from a salted row number: each of SALTS hash groups of a length numbers its
-    own rows, and the counts of all groups (at most capacity x SALTS numbers) say where each group starts.
+    Ranks among pieces of one length come from row numbers in salted groups: a length has as many hash groups as make
+    them GROUP_ROWS rows each or, of many rows, a GROUPS-th of all.  The driver gets the histogram of lengths (at most
+    ``capacity`` numbers), then the groups' sizes (at most GROUPS + ``capacity``), which say where each group starts, and
+    broadcasts those and the plan: some 4 MB at most, however many pieces there are.
     """
     order = order or ["doc_id", "piece"]
-    parts = without(parts, "sequence_id", "offset", "__salt", "__in")
+    parts = without(parts, "sequence_id", "offset")
+    salt, many, place_in, same = free_names(parts, "__salt", "__salts", "__in", "__length")
     spark = parts.sparkSession
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    counts = sorted((r["length"], r["__salt"], r["n"]) for r in salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, sums = {}, {}
-    for length, salt, n in counts:
-        before[length, salt] = sums.get(length, 0)
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(GROUP_ROWS, -(-sum(counts.values()) // GROUPS))
+    salts = spark.createDataFrame([(n, -(-c // each)) for n, c in counts.items()], f"{same} long, {many} int")
+    salted = parts.join(F.broadcast(salts), F.col("length") == F.col(same)).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(many)).cast("int")).drop(many, same)
+    groups = sorted((r["length"], r[salt], r["n"]) for r in salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, sums = [], {}
+    for length, _, n in groups:
+        before.append(sums.get(length, 0))
         sums[length] = sums.get(length, 0) + n
     plan = Plan(sums, capacity)
-    shared = spark.sparkContext.broadcast((np.array(sorted(before), np.int64).reshape(-1, 2) @ [SALTS, 1], np.array([before[k] for k in sorted(before)], np.int64), *plan.table()))
+    shared = spark.sparkContext.broadcast((np.array([x << 32 | y for x, y, _ in groups], np.int64), np.array(before, np.int64), *plan.table()))
     from pyspark.sql import Window
 
-    ranked = salted.withColumn("__in", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1)
+    ranked = salted.withColumn(place_in, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1)
     names = parts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +245,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
             length = get("length")
             if not len(length):
                 continue
-            rank = get("__in") + start[np.searchsorted(group, length * SALTS + get("__salt"))]
+            rank = get(place_in) + start[np.searchsorted(group, length << 32 | get(salt))]
             row = rows[np.searchsorted(keys, length << 40 | rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(row[:, 1] + rank - row[:, 0]), pa.array(row[:, 2])], names=[*names, "sequence_id", "offset"])
 
@@ -229,6 +258,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     Tokenizing runs once: its rows are written to the shared folder, and all later steps read those.
     * null and empty texts: one piece of the separator alone; an empty table gives no rows.
     * repeated rows are packed each on their own; equal (doc_id, piece) take places in any order among themselves.
+    * a very long text is cut into pieces; its ids are in memory at once, as a row's text is.
+    * other columns of ``docs``, however named, are not read.
     """
     parts = materialize(pieces(docs, capacity, path, with_ids), "pieces")
     return place(parts, capacity)
