@@ -11,8 +11,9 @@ import base64
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,43 @@ CAPACITY = 2048
 SEPARATOR = 0
 GROUPS, GROUP_ROWS = 1 << 16, 1_000
 _SLICE = 1 << 20
-_CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+# letters and digits that all versions of Unicode take for such; marks but the apostrophe, which may begin a contraction
+_WORD, _MARK = "0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЁА-яё", r"!-&(-/:-@\[-`{-~"
+_PARTS = re.compile(f"[ \n]*[{_WORD}]+(?:'[{_WORD}]+)*|[ \n]*[{_MARK}']+|[ \n]+")
+_CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
 _KNOWN, _SHORT = 1 << 18, 64
 
 
-def tokenizer(path: str | None = None):
-    """Encoder of the byte-level vocabulary in ``path`` (the public 50k file by default); ``encode(text) -> ids``.
-
-    The ids come from the tokenizers library, which sees each text in parts: it is cut before every blank between two
-    word characters or marks, where this vocabulary's rules end a token whatever follows.  The ids of up to _KNOWN
-    short parts are kept, so most parts of a text cost a lookup.  A ``.tiktoken`` rank file of the same vocabulary
-    goes to tiktoken instead."""
+class _Known(dict):
+    """Ids of parts of texts as bytes, found when they are first asked for.  Two generations of _KNOWN parts at most are
+    kept: when the younger one is full it becomes the older, from which what is still in use comes back."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("I", self.encode(part)).tobytes()
+        if len(part) <= _SHORT:
+            if len(self) >= _KNOWN:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+@lru_cache(maxsize=4)
+def tokenizer(path: str | None = None) -> Callable[[str], np.ndarray]:
+    """Encoder of the byte-level vocabulary in ``path`` (the public 50k file by default): text to ids of 32 bits.
+
+    The ids come from the tokenizers library, which sees each text in parts.  A text of common letters, digits, ASCII
+    marks, blanks and line breaks is cut into words and marks, each with the white space before it; any other text before
+    every blank or line break that follows a letter, digit or mark.  At these places this vocabulary's rules end a token
+    whatever comes next: letters, digits and marks are tokens of their own kind, and white space only begins one.
+    The ids of short parts are kept for the life of a worker, so most parts of a text cost a lookup.  A ``.tiktoken``
+    rank file of the same vocabulary goes to tiktoken instead."""
     import public_tokenizers as P
 
     path = path or P.path("byte_bpe_50k.json")
@@ -45,26 +72,20 @@ def tokenizer(path: str | None = None):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: np.array(encoding.encode_ordinary(text), np.uint32)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # workers are forked, and tasks have a core each
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        parts = _CUT.split(text)
-        fresh = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(fresh) > _KNOWN:
-            known.clear()
-            fresh = list(dict.fromkeys(parts))
-        known.update(zip(fresh, (e.ids for e in t.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        out = list(chain.from_iterable(map(known.__getitem__, parts)))
-        for p in fresh:
-            if len(p) > _SHORT:
-                del known[p]
-        return out
+    known = _Known(lambda part: t.encode(part, add_special_tokens=False).ids)
+
+    def encode(text: str) -> np.ndarray:
+        parts = _PARTS.findall(text)
+        if "\n'" in text or text[:1] == "'" or "".join(parts) != text:
+            parts = _CUT.split(text)
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
 
     return encode
 
@@ -100,7 +121,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
             out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             held = 0
             for row in range(batch.num_rows):
-                ids = np.array([*encode(texts[row].as_py()), SEPARATOR], np.uint32)
+                ids = np.append(encode(texts[row].as_py()), np.uint32(SEPARATOR))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     for name, value in (("row", row), ("piece", k), ("start", start), ("length", length), ("crc", zlib.crc32(part.astype("<u4").tobytes()))):
