@@ -13,8 +13,9 @@ ADDED = ("n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
+    """The line without blanks at its ends, A-Z in lower case; ``lower`` does that for ASCII without a map of characters."""
+    key = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, UPPER.lower()))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
