@@ -277,15 +277,6 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-@needs_tables
-def test_fast_and_plain_tokenizers_agree(spark):
-    import public_tokenizers as P
-
-    a, b = packing.tokenizer(), packing.tokenizer(P.path("byte_bpe_50k.json"))
-    for (t,) in table(spark, SF, "documents").select("text").collect():
-        assert list(a(t or "")) == list(b(t or ""))
-
-
 # ---------------------------------------------------------------- n-gram join
 
 
@@ -373,25 +364,7 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-# ---------------------------------------------------------------- pipeline and SQL
-
-
-@needs_tables
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs, sizes = table(spark, SF, "documents"), []
-    for i, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, docs, SF)
-        assert i + 1 == len(p.STAGES) or out.columns == p.COLUMNS
-        path = p.materialize(out, "t")
-        sizes.append((docs.count(), path.count()))
-        if i == 2:
-            root, _ = plain_classes([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()])
-            assert path.count() == len(set(root))
-        docs = path
-    assert 0.7 * sizes[0][0] < sizes[0][1] < sizes[0][0] and sizes[1][0] == sizes[1][1]
-    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+# ---------------------------------------------------------------- SQL
 
 
 @needs_tables
