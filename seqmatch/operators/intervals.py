@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +132,18 @@ def keyed_filter(rows: DataFrame, time: str, key: Column, pairs: DataFrame, wind
     near = pairs.withColumn("wid", F.explode(F.array(F.col("wid") - 1, F.col("wid"), F.col("wid") + 1))).distinct()
     rows = rows.withColumns({"wid": F.floor(F.col(time) / F.lit(max(1, window))), "key": key})
     return _semi(rows.where("key is not null"), near, ["wid", "key", *(keys or [])]).drop("wid", "key")
+
+
+def expected_keys(rows: DataFrame, time: str, key: Column, window: int, top: int = 15) -> DataFrame:
+    """One row: how many different keys a window is expected to hold, if rows of each key came at an even rate.
+
+    The ``top`` most frequent keys count each with its own rate, the others with their mean rate."""
+    counted = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    span = rows.agg((F.max(time) - F.min(time) + 1).alias("span"))
+    often = counted.orderBy(F.desc("n"), "key").limit(top).select(F.collect_list("n").alias("often"))
+    total = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"))
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [span, often, total])
+    one = parts.agg(F.max("span").alias("span"), F.max("often").alias("often"), F.max("keys").alias("keys"), F.max("n").alias("n"))
+    some = F.expr(f"aggregate(often, 0d, (z, n) -> z + 1 - exp(-n * {window}d / span))")
+    rest, left = F.expr("keys - size(often)"), F.expr("n - aggregate(often, 0L, (z, n) -> z + n)")
+    return one.select(F.round(some + F.when(rest > 0, rest * (1 - F.exp(-left / rest * F.lit(float(window)) / F.col("span")))).otherwise(0.0), 6).alias("expected"))

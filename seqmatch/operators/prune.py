@@ -129,9 +129,10 @@ def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts:
         span, model = span_us(cands), model or cost.Adaptive()
         chosen = order[:1]
         for v in order[1:]:
-            rarest = min(counts[d] for d in order[: order.index(v)])
-            equal = any(p.is_equality for d in order[: order.index(v)] for p in q.between(v, d))
-            if model.worthwhile(cost.Reduction(counts[v], span, q.window_us, rarest / span, equal)):
+            before = order[: order.index(v)]
+            rarest = min(before, key=lambda d: counts[d])
+            equal = any(p.is_equality for d in before for p in q.between(v, d))
+            if model.worthwhile(cost.Reduction(counts[v], span, q.window_us, counts[rarest] / span, equal, both_sides=q.marker(rarest) == "middle")):
                 chosen.append(v)
         if len(chosen) < 2:
             return cands

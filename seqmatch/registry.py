@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .api import match_recognize
 from .functions import columns as fc
+from .functions.storage import new_path
 from .operators import candidates, intervals, match, prune, results
+from .operators.sessions import run_many
 from .plans.parser import parse
-from .sources import datasets
+from .sources import datasets, io
+from .streaming.streams import any_match_stream, match_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,7 +144,7 @@ _SHAPES = {
     "pred_between": ({"A": "a.event_type = 'view' AND a.value BETWEEN 10 AND 40", "B": "b.event_type = 'click' AND b.value BETWEEN a.value AND a.value + 20"}, "'1' DAY", "INTERVAL 1 DAY"),
     "two_var": ({"A": "a.event_type = 'signup'", "B": "b.event_type = 'purchase' AND b.value > a.value"}, "'1' DAY", "INTERVAL 1 DAY"),
     "four_var": ({"A": "a.event_type = 'signup'", "B": "b.event_type = 'view'", "C": "c.event_type = 'click' AND c.value < b.value", "D": "d.event_type = 'purchase' AND d.value > a.value"}, "'2' DAY", "INTERVAL 2 DAY"),
-    "five_var": ({"A": "a.event_type = 'signup' AND a.value < 30", "B": "b.event_type = 'view' AND b.value < a.value", "C": "c.event_type = 'click' AND c.value > 40", "D": "d.event_type = 'purchase' AND d.value < 20", "E": "e.event_type = 'error' AND e.value < 10"}, "'4' DAY", "INTERVAL 4 DAY"),
+    "five_var": ({"A": "a.event_type = 'signup' AND a.value < 100", "B": "b.event_type = 'view' AND b.value < a.value", "C": "c.event_type = 'click' AND c.value > 40", "D": "d.event_type = 'purchase' AND d.value < 100", "E": "e.event_type = 'error' AND e.value < 100"}, "'4' DAY", "INTERVAL 4 DAY"),
     "window_ms": ({"A": "a.event_type = 'view'", "B": "b.event_type = 'click'"}, "'1500000' MILLISECOND", "INTERVAL 1500000 MILLISECOND"),
 }
 for _name, (_d, _w, _i) in _SHAPES.items():
@@ -157,9 +160,25 @@ _ORDERS = {"A": "a.o_orderstatus = 'O'", "B": "b.o_orderstatus = 'F' AND b.o_tot
 _match("orders_sequence", _ORDERS, all_of(_ORDERS, interval="INTERVAL 90 DAY", partition="o_custkey", table="orders", t="o_orderdate", key="o_orderkey"), "any_match", within="'90' DAY", partition="o_custkey", table="orders", order="o_orderdate, o_orderkey", key="o_orderkey")
 
 
-@query("skip_past_last_row")
-def _past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_recognize(_table(spark, sf_dir), statement(FREE, skip="SKIP PAST LAST ROW"))
+def skipping(defines: dict[str, str], to_last: bool, partition: str | None = "user_id") -> str:
+    """The first matches of all heads, and of those a chain from each partition's first one, by recursion."""
+    last = list(defines)[-1].lower()
+    same = f"n.{partition} = m.{partition}" if partition else "true"
+    part = f"PARTITION BY {partition} " if partition else ""
+    begin = f"(n.a_ts > m.{last}_ts OR (n.a_ts = m.{last}_ts AND n.a_id {'>=' if to_last else '>'} m.{last}_id))"
+    key = f", a.{partition} AS {partition}" if partition else ""
+    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY {', '.join(f'{x.lower()}_ts, {x.lower()}_id' for x in list(defines)[:0:-1])}) AS rn FROM ({combos(defines, partition=partition, extra=key)})) WHERE rn = 1"
+    return f"""WITH RECURSIVE m AS (SELECT * EXCLUDE (rn) FROM ({first})),
+jump AS (SELECT a_id, next_id FROM (SELECT m.a_id, n.a_id AS next_id, row_number() OVER (PARTITION BY m.a_id ORDER BY n.a_ts, n.a_id) AS rn FROM m JOIN m n ON {same} AND {begin}) WHERE rn = 1),
+chain AS (SELECT a_id FROM (SELECT a_id, row_number() OVER ({part}ORDER BY a_ts, a_id) AS rn FROM m) WHERE rn = 1 UNION SELECT next_id FROM chain JOIN jump USING (a_id))
+SELECT {_ids(defines)} FROM m JOIN chain USING (a_id)"""
+
+
+OVER = {"A": "a.value > 100", "B": "b.event_type = 'click'", "C": "c.value > 150"}
+_match("skip_past_last_row", FREE, skipping(FREE, False), skip="SKIP PAST LAST ROW")
+_match("skip_past_last_row_overlapping", OVER, skipping(OVER, False), skip="SKIP PAST LAST ROW")
+_match("skip_to_last", OVER, skipping(OVER, True), skip="SKIP TO LAST C")
+_match("skip_past_last_row_nopart", OVER, skipping(OVER, False, None), skip="SKIP PAST LAST ROW", partition=None)
 
 
 @query("compat_arith", "SELECT a.o_orderkey, trunc(CAST(a.o_orderkey AS DOUBLE) / 3)::BIGINT AS third, trunc(CAST(a.o_orderkey AS DOUBLE) * 1.5)::BIGINT AS more FROM orders a")
@@ -211,6 +230,11 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir).select("event_id", fc.hash64("event_type", "user_id").alias("h64"), fc.hash64("event_type", seed=7).alias("h64_seeded"), fc.hash32("event_type").alias("h32"), fc.linear_hash("event_id").alias("linear"))
 
 
+@query("linear_hash", "SELECT event_id, CAST((CAST(event_id % 4294967296 AS HUGEINT) * 2654435761 + 12345) % 4294967296 AS BIGINT) AS linear FROM events")
+def _linear_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).select("event_id", fc.linear_hash("event_id").alias("linear"))
+
+
 @query("sort_by_time", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
 def _sort_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -318,6 +342,13 @@ def _keyed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.keyed_filter(_points(spark, sf_dir, "click"), "t", F.col("user_id"), pairs, HOUR).select("event_id")
 
 
+@query("expected_keys", f"""WITH r AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS k FROM events GROUP BY 1), s AS (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS span FROM events)
+SELECT round((SELECT sum(1 - exp(-n * {HOUR}::DOUBLE / span)) FROM r, s WHERE k <= 15) + (SELECT CASE WHEN count(*) > 0 THEN count(*) * (1 - exp(-sum(n) / count(*)::DOUBLE * {HOUR}::DOUBLE / max(span))) ELSE 0 END FROM r, s WHERE k > 15), 6) AS expected""")
+def _expected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir)
+    return intervals.expected_keys(df.select(fc.micros(df, "ts").alias("t"), "user_id"), "t", F.col("user_id"), HOUR)
+
+
 @query("window_filter", f"SELECT event_id, epoch_us(ts) - {TEN_MINUTES} AS \"start\", epoch_us(ts) + {TEN_MINUTES} AS \"end\" FROM events x WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM ({_V}) i WHERE epoch_us(x.ts) BETWEEN i.\"start\" AND i.\"end\")")
 def _window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals.contains(_points(spark, sf_dir, "click"), "t", _merged(spark, sf_dir, "view"))
@@ -337,6 +368,16 @@ def _prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune.report(candidates.split(df, q, whole=False), q, 1)
 
 
+@query("prune_report_bounds", " UNION ALL ".join(f"SELECT '{m}' AS mode, '{v}' AS variable, true AS keeps_matches, {'true' if m in (prune.NONE, prune.PREDICATES) else 'false'} AS keeps_all" for m in prune.MODES for v in "ABC"))
+def _prune_report_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mode lets at least the rows of matches through, and the modes that prune at this statement fewer than all."""
+    rows = _prune_report(spark, sf_dir)
+    needed = _participation(spark, sf_dir).withColumnRenamed("n_rows", "needed")
+    every = rows.where(F.col("mode") == prune.NONE).select("variable", F.col("rows").alias("all_rows"))
+    out = rows.join(needed, "variable").join(every, "variable")
+    return out.select("mode", "variable", (F.col("rows") >= F.col("needed")).alias("keeps_matches"), (F.col("rows") == F.col("all_rows")).alias("keeps_all"))
+
+
 # ------------------------------------------------------------------ results
 
 _WHOLE = statement(TIED).replace("MEASURES A.event_id AS a_id, B.event_id AS b_id, C.event_id AS c_id ", "")
@@ -412,19 +453,98 @@ def _first_per_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.first_per_key(_table(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
 
 
+# ------------------------------------------------------------------ trades
+
+_TRADES = {"A": "a.symbol = 1 AND a.price < 30", "B": "b.symbol = 7 AND b.price < a.price", "C": "c.symbol = 4 AND c.price > 80"}
+_FIVE = _TRADES | {"D": "d.symbol = 3 AND d.price < 20", "E": "e.symbol = 2 AND e.price < 10"}
+STOCK = {"stock_q1": (_TRADES, 100), "stock_q2": (_TRADES, 1000), "stock_q3": (_FIVE, 1000)}
+
+
+def stock_query(name: str, trades: DataFrame) -> DataFrame:
+    """All combinations of a statement over trades, without a partition key."""
+    defines, seconds = STOCK[name]
+    return match_recognize(trades, statement(defines, within=f"'{seconds}' SECOND", partition=None, table="trades", order="eventTime, id", key="id"), "any_match", unit="s")
+
+
+def _stock_sql(name: str, n: int, seed: int) -> str:
+    u = lambda k, most: f"floor(('0x' || substr(md5('{seed * 100 + k}:' || id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 * {most})::INTEGER"
+    defines, seconds = STOCK[name]
+    return f"WITH trades AS (SELECT id, id AS eventTime, {u(0, 20)} + 1 AS symbol, {u(1, 100)} AS price FROM range({n}) t(id)) " + all_of(defines, interval=str(seconds), partition=None, table="trades", t="eventTime", key="id")
+
+
+for _name in STOCK:
+
+    @query(_name, _stock_sql(_name, 5_000, 10))
+    def _stock(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
+        return stock_query(name, datasets.stock(spark, 5_000, 10))
+
+
 # ------------------------------------------------------------------ datasets
 
 
-@query("reservoir_sample")
+@query("reservoir_sample", "SELECT * FROM events ORDER BY md5('7:' || event_id), event_id LIMIT 500")
 def _reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.reservoir(_table(spark, sf_dir), 500, ["event_id"], 7)
 
 
-@query("synthetic_events")
+def _synthetic_sql(n: int, seed: int) -> str:
+    u = lambda k: f"(('0x' || substr(md5('{seed * 100 + k}:' || id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+    rank = lambda k, size, s: f"lpad(len(list_filter([{', '.join(map(repr, datasets.zipf_edges(size, s)))}]::DOUBLE[], e -> e <= {u(k)}))::VARCHAR, 2, '0')"
+    return f"""SELECT 'T_' || {rank(0, 20, 1.2)} AS type, floor({u(1)} * 1001)::INTEGER AS a1, 'ATTR2_' || {rank(2, 50, 0.255)} AS a2, 'ATTR3_' || {rank(3, 50, 0.7)} || '_PADDING' AS a3,
+floor((id - ln(1.0::DOUBLE - {u(4)})) * 10.0::DOUBLE)::BIGINT AS "eventTime", (floor(id / 1000000) * 1000000 * 4 + floor({u(6)} * 1000000 * 4))::BIGINT AS arrival FROM range({n}) t(id)"""
+
+
+@query("synthetic_events", _synthetic_sql(5_000, 3))
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.synthetic(spark, 5_000, 3)
 
 
+@query("csv_load", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table to CSV, and by its definition back into a columnar table, half of it appended."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = new_path(spark, "csv")
+    half = F.col("o_custkey") % 2
+    rows.where(half == 0).write.option("header", True).csv(f"{path}/first")
+    rows.where(half == 1).write.option("header", True).csv(f"{path}/second")
+    _, schema = io.parse_ddl("CREATE TABLE orders(o_orderkey LONG, o_custkey LONG, o_orderstatus VARCHAR(1), o_totalprice DOUBLE, o_orderpriority VARCHAR(15))", None)
+    io.csv_to_parquet(spark, f"{path}/first", f"{path}/table", schema, sort_by="o_orderkey")
+    io.append(io.read_csv(spark, f"{path}/second", schema), f"{path}/table")
+    return spark.read.parquet(f"{path}/table")
+
+
+@query("query_file", f"SELECT 0 AS statement, count(*) AS n FROM ({first_of(TIED)}) UNION ALL SELECT 1, count(*) FROM ({first_of(FREE)})")
+def _query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of a file, run as several clients."""
+    df = _table(spark, sf_dir)
+    found = io.read_queries(f"{statement(TIED)};\n{statement(FREE)}\n;\n")
+    counts = run_many(spark, {str(i): (lambda text=text: match_recognize(df, text.strip().rstrip(";"))) for i, text in enumerate(found)})
+    return spark.createDataFrame([(int(k), n) for k, n in counts.items()], "statement int, n long")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a stream of one file and one of rows that move the watermark past them; the sink's table."""
+    path, rows = new_path(spark, "stream"), _table(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    rows.coalesce(1).write.parquet(f"{path}/in")
+    late = rows.groupBy("user_id").agg(F.max("event_id").alias("event_id")).crossJoin(F.broadcast(rows.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))))
+    late = late.select("event_id", "ts", "user_id", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    late.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    running = make(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("stream_next_row", first_of(TIED))
+def _stream_next_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: match_stream(rows, statement(TIED)))
+
+
+@query("stream_any_match", all_of(BASIC))
+def _stream_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: any_match_stream(rows, statement(BASIC), "1 second"))
+
+
 @query("split_by_type", "SELECT event_type, count(*) AS n, 1 AS n_parts FROM events GROUP BY 1")
 def _split_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = datasets.split_by_value(_table(spark, sf_dir), 4, "event_type")
@@ -438,9 +558,11 @@ def _split_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.split_by_window(df, 4, t, DAY).groupBy(F.floor(t / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").cast("int").alias("n_parts"))
 
 
-@query("split_round_robin", "SELECT count(*) AS n FROM events")
+@query("split_round_robin", "SELECT count(*) AS n, 4 AS n_parts, true AS even FROM events")
 def _split_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.split_round_robin(_table(spark, sf_dir), 4, ["event_id"]).groupBy("part").count().agg(F.sum("count").alias("n"))
+    """Four parts whose sizes differ by no more than one row for each of the four groups that number their rows."""
+    sizes = datasets.split_round_robin(_table(spark, sf_dir), 4, ["event_id"]).groupBy("part").count()
+    return sizes.agg(F.sum("count").alias("n"), F.count(F.lit(1)).cast("int").alias("n_parts"), (F.max("count") - F.min("count") <= 4).alias("even"))
 
 
 def names() -> list[str]:

@@ -30,25 +30,31 @@ def split_by_window(df: DataFrame, n: int, time_us: Column, width_us: int) -> Da
 
 def reservoir(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
     """A uniform sample of n rows: those with the least hashes of the seed and the key; partitions keep n rows each."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])), *key).limit(n)
 
 
-def zipf(u: Column, n: int, s: float) -> Column:
-    """Rank 0 .. n-1 with probability in proportion to 1 / (rank + 1) ** s, from a uniform number."""
+def zipf_edges(n: int, s: float) -> list[float]:
+    """Cumulative probabilities of the ranks 0 .. n-2, the probability of a rank being in proportion to 1 / (rank + 1) ** s."""
     total = sum(1 / (i + 1) ** s for i in range(n))
-    out, acc = F.lit(n - 1), 0.0
-    edges = []
+    edges, acc = [], 0.0
     for i in range(n - 1):
         acc += 1 / (i + 1) ** s / total
         edges.append(acc)
-    for i in reversed(range(n - 1)):
-        out = F.when(u < edges[i], F.lit(i)).otherwise(out)
+    return edges
+
+
+def zipf(u: Column, n: int, s: float) -> Column:
+    """Rank 0 .. n-1 from a uniform number."""
+    out = F.lit(n - 1)
+    for i, edge in reversed(list(enumerate(zipf_edges(n, s)))):
+        out = F.when(u < edge, F.lit(i)).otherwise(out)
     return out
 
 
 def uniform(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) hashed from columns, so that retries and partitions do not change it."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
+    text = F.md5(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(text, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def synthetic(spark: SparkSession, n: int, seed: int = 0, gap_ms: float = 10.0, arrivals: str = "exponential", shuffled: int = 1_000_000) -> DataFrame:
@@ -74,6 +80,14 @@ def synthetic(spark: SparkSession, n: int, seed: int = 0, gap_ms: float = 10.0,
     )
 
 
+def stock(spark: SparkSession, n: int, seed: int = 10, symbols: int = 20, max_price: int = 100, max_volume: int = 1000) -> DataFrame:
+    """n trades, one a second: id, eventTime in seconds, symbol (1 ..), price and volume, all uniform whole numbers."""
+    ids = spark.range(n)
+    u = [uniform(seed * 100 + k, F.col("id")) for k in range(3)]
+    whole = lambda x, most: F.floor(x * most).cast("int")
+    return ids.select("id", F.col("id").alias("eventTime"), (whole(u[0], symbols) + 1).alias("symbol"), whole(u[1], max_price).alias("price"), whole(u[2], max_volume).alias("volume"))
+
+
 def generate_queries(variables: int, n: int, selectivity: float, seed: int = 0, minutes: int = 3) -> list[str]:
     """Random statements over the synthetic table: a type and a bound on a1 for each variable, and an equality with the
     variable before it now and then."""
