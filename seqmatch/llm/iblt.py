@@ -7,8 +7,9 @@ added to one cell of each group.  A cell holds how many digests it has, their ex
 The fingerprint of a text is its sketch of CELLS cells, whatever the text's length.  Two sketches are subtracted cell
 by cell, which leaves the digests that only one of the texts has.  *Peeling* takes out digests that stand alone in a
 cell, one group of cells after the other, for some rounds; what a cell of one group gives up is subtracted from its
-cells in the others.  The digests taken out are the difference.  Where cells are left, both texts are sketched again
-with more cells, hashed anew, until peeling empties them.
+cells in the others.  The digests taken out are the difference.  Where cells are left, or the texts' numbers of digests
+say that the difference will hardly fit, both texts are sketched again with more cells, hashed anew, until peeling
+empties them.
 
 Cells are rows (id, side or pair, cell, count, key, checksum), empty ones left out, and a round is one ``explode`` and
 one aggregation by cell.  The digests are dealt by id once; all rounds keep that dealing, so cells never travel.
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-GROUPS, BASE_BITS, ROUNDS, MAX_BITS = 3, 4, 4, 40
+GROUPS, BASE_BITS, MAX_BITS = 3, 4, 40
 CELLS = GROUPS << BASE_BITS
+ROUNDS, MORE_ROUNDS, FULL = 4, 2, 0.75
+EDITED = 0.35
 RANGES, MOST_RANGES = 8, 1 << 14
 PARAGRAPH = "\\n|(?<=[.]) "
-FOUND = -(1 << 63)
+FOUND, MINE, OTHER = -(1 << 63), -1, -2
 
 
 def digests(text: str) -> Column:
@@ -47,8 +50,9 @@ def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """Cells (id, side, bits, trial, cell, c, k, h) of texts (id, side, bits, trial, d), d being an array of digests."""
-    keys = ["id", "side", "bits", "trial"]
+    """Cells (id, side, pairs, bits, trial, cell, c, k, h) of texts (id, side, pairs, bits, trial, d), d being an array of
+    digests and ``pairs`` a number that is passed on."""
+    keys = ["id", "side", "pairs", "bits", "trial"]
     rows = texts.select(*keys, F.explode("d").alias("k")).select(*keys, "k", F.lit(1).cast("long").alias("c"), F.xxhash64("k").alias("h"))
     places = F.array(*[cell_of(F.col("k"), g, F.col("bits"), F.col("trial")) for g in range(GROUPS)])
     return _summed(rows.withColumn("cell", F.explode(places)), keys)
@@ -58,23 +62,23 @@ PAIR = ["id", "pair", "bits", "trial"]
 
 
 def subtract(cells: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Cells of the first less those of the second side of each pair, one pair for each entry of ``pairs``; both sides
-    have sketches of one size."""
-    sides = {s for p in pairs for s in p}
-    uses = {s: F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(1 if p[0] == s else -1).alias("sign")) for i, p in enumerate(pairs) if s in p]) for s in sides}
+    """Cells of the first less those of the second side of pair i, for the pairs whose bit i is set in ``pairs`` of the
+    cells; both sides have sketches of one size."""
     use = F.lit(None)
-    for s, u in uses.items():
-        use = F.when(F.col("side") == s, u).otherwise(use)
+    for s in {s for p in pairs for s in p}:
+        uses = [F.when(F.col("pairs").bitwiseAND(1 << i) > 0, F.struct(F.lit(i).alias("pair"), F.lit(1 if p[0] == s else -1).alias("sign"))) for i, p in enumerate(pairs) if s in p]
+        use = F.when(F.col("side") == s, F.array_compact(F.array(*uses))).otherwise(use)
     rows = cells.select("*", F.explode(use).alias("use"))
     return _summed(rows.select("id", "use.pair", "bits", "trial", "cell", (F.col("c") * F.col("use.sign")).alias("c"), "k", "h"), PAIR)
 
 
-def peel(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, pair, bits, trial, mine, other, ok): the digests that only the first and only the second side has, and whether
-    all cells were emptied.
+def peel(cells: DataFrame, rounds: int, recover: list[int]) -> DataFrame:
+    """(id, pair, bits, trial, n_mine, n_other, mine, other, ok): how many digests only the first and only the second side
+    has, these digests for the pairs in ``recover``, and whether all cells were emptied.
 
     In the turn of a group each key is in one cell of it, so none is taken twice.  A key that is taken out becomes a row
-    of its own, under a negative cell number."""
+    of its own, under a negative cell number, or is counted in the cell MINE or OTHER."""
+    named = F.col("pair").isin(recover) if recover else F.lit(False)
     for turn in range(rounds * GROUPS):
         g = turn % GROUPS
         alone = (F.col("cell") >= 0) & (F.col("cell") % GROUPS == g) & (F.abs("c") == 1) & (F.col("h") == F.xxhash64("k"))
@@ -82,51 +86,64 @@ def peel(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         def row(cell: Column, c: Column, h: Column) -> Column:
             return F.struct(cell.cast("long").alias("cell"), c.cast("long").alias("c"), h.alias("h"))
 
-        taken = row(F.col("k").bitwiseOR(F.lit(FOUND)), F.col("c"), F.lit(0).cast("long"))
+        own = F.when(named, F.col("k").bitwiseOR(F.lit(FOUND))).when(F.col("c") == 1, F.lit(MINE).cast("long")).otherwise(F.lit(OTHER).cast("long"))
+        taken = row(own, F.col("c"), F.lit(0).cast("long"))
         given = [row(cell_of(F.col("k"), o, F.col("bits"), F.col("trial")), -F.col("c"), F.col("h")) for o in range(GROUPS) if o != g]
         stays = row(F.col("cell"), F.col("c"), F.col("h"))
         cells = _summed(cells.select(*PAIR, "k", F.explode(F.when(alone, F.array(taken, *given)).otherwise(F.array(stays))).alias("x")).select(*PAIR, "k", "x.*"), PAIR)
-    side = lambda sign: F.array_sort(F.collect_list(F.when((F.col("cell") < 0) & (F.col("c") == sign), F.col("k"))))
-    return cells.groupBy(*PAIR).agg(side(1).alias("mine"), side(-1).alias("other"), (F.count_if(F.col("cell") >= 0) == 0).alias("ok"))
+    out = F.col("cell") < 0
+    side = lambda sign: F.array_sort(F.collect_list(F.when(out & named & (F.col("c") == sign), F.col("k"))))
+    count = lambda sign: F.coalesce(F.sum(F.when(out & (F.signum("c") == sign), F.abs("c"))), F.lit(0))
+    return cells.groupBy(*PAIR).agg(count(1).alias("n_mine"), count(-1).alias("n_other"), side(1).alias("mine"), side(-1).alias("other"), (F.count_if(~out) == 0).alias("ok"))
 
 
-def differences(sets: DataFrame, pairs: list[tuple[str, str]], what: str = "differences") -> DataFrame:
-    """(id, pair, mine, other): the differing digests of each pair of columns of ``sets`` (id and arrays of digests).
+def differences(sets: DataFrame, pairs: list[tuple[str, str, float]], recover: list[int] | None = None, what: str = "differences") -> DataFrame:
+    """(id, pair, n_mine, n_other, mine, other): the differing digests of each pair of columns of ``sets`` (id and arrays of
+    digests); the digests themselves of the pairs in ``recover`` (all, if None).
 
-    The first trial subtracts the fingerprints' sketches.  Pairs that fail are tried again with sketches of eight times
-    as many cells, or three for each digest if that is more; a table is written for each trial.  Pairs without a
-    difference are not in the result."""
+    The third entry of a pair is the share of both sides' digests that is expected to differ.  Where that is at most FULL
+    times the cells of a fingerprint, the first trial subtracts the fingerprints' sketches.  Other pairs, and those that
+    fail, are sketched with eight times as many cells or three for each digest if that is more, and so on; a table is
+    written for each trial.  Pairs without a difference may be missing in the result."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = sorted({c for p in pairs for c in p})
-    numbered = [tuple(names.index(c) for c in p) for p in pairs]
+    recover = list(range(len(pairs))) if recover is None else recover
+    names = sorted({c for p in pairs for c in p[:2]})
+    fits = [(F.size(a) + F.size(b)) * F.lit(share) <= FULL * CELLS for a, b, share in pairs]
+    mask = reduce(lambda x, y: x + y, [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fits)])
+    used = lambda c: reduce(lambda x, y: x | y, [f for f, p in zip(fits, pairs, strict=True) if c in p[:2]])
+    sides = F.array_compact(F.array(*[F.when(used(c), F.struct(F.lit(i).alias("side"), F.lit(BASE_BITS).alias("bits"), F.col(c).alias("d"))) for i, c in enumerate(names)]))
+    texts = sets.select("id", mask.alias("pairs"), F.explode(sides).alias("x"))
+    left, right = (reduce(lambda rest, i: F.when(F.col("pair") == i, F.col(pairs[i][j])).otherwise(rest), range(len(pairs)), F.lit(None)) for j in (0, 1))
+    large = F.array_compact(F.array(*[F.when(~f, F.lit(i)) for i, f in enumerate(fits)]))
+    todo = sets.select("*", F.explode(large).alias("pair")).select("id", "pair", left.alias("l"), right.alias("r"))
     done: list[DataFrame] = []
-    texts = sets.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.lit(BASE_BITS).alias("bits"), F.col(c).alias("d")) for i, c in enumerate(names)])).alias("x"))
     trial = 0
     while True:
-        dealt = texts.select("id", "x.side", "x.bits", F.lit(trial).alias("trial"), "x.d").repartition(parts, "id")
-        if trial:  # sides are numbered by pair: 2 i and 2 i + 1
-            cells = subtract(sketches(dealt), [(2 * i, 2 * i + 1) for i in range(len(pairs))])
+        dealt = texts.select("id", "x.side", "pairs", "x.bits", F.lit(trial).alias("trial"), "x.d").repartition(parts, "id")
+        # in later trials sides are numbered by pair: 2 i and 2 i + 1
+        numbered = [(2 * i, 2 * i + 1) for i in range(len(pairs))] if trial else [(names.index(a), names.index(b)) for a, b, _ in pairs]
+        result = materialize(peel(subtract(sketches(dealt), numbered), MORE_ROUNDS if trial else ROUNDS, recover), what)
+        done.append(result.where("ok").drop("ok", "bits", "trial"))
+        failed = result.where("not ok").select(F.col("id").alias("__id"), F.col("pair").alias("__pair"))
+        if trial:
+            if not failed.head(1):
+                return reduce(lambda a, b: a.unionByName(b), done)
+            todo = todo.join(failed, (F.col("id") == F.col("__id")) & (F.col("pair") == F.col("__pair")), "left_semi")
         else:
-            cells = subtract(sketches(dealt), numbered)
-        result = materialize(peel(cells), what)
-        done.append(result.where("ok").select("id", "pair", "mine", "other"))
-        failed = result.where("not ok").select(F.col("id").alias("__id"), "pair")
-        if not failed.head(1):
-            return reduce(lambda a, b: a.unionByName(b), done)
+            again = sets.join(failed, F.col("id") == F.col("__id")).withColumn("pair", F.col("__pair"))
+            todo = materialize(todo.unionByName(again.select("id", "pair", left.alias("l"), right.alias("r"))), "larger")
         trial += 1
-        again = sets.join(failed, F.col("id") == F.col("__id"))
-        left, right = (F.coalesce(*[F.when(F.col("pair") == i, F.col(p[j])) for i, p in enumerate(pairs)]) for j in (0, 1))
-        again = again.select("id", "pair", left.alias("l"), right.alias("r"))
         bits = F.greatest(F.lit(BASE_BITS + 3 * trial), F.ceil(F.log2((F.size("l") + F.size("r") + 1).cast("double"))) + (trial - 1)).cast("int")
         bits = F.least(F.lit(MAX_BITS), bits)
-        texts = again.select("id", F.explode(F.array(*[F.struct((2 * F.col("pair") + j).alias("side"), bits.alias("bits"), F.col(c).alias("d")) for j, c in enumerate("lr")])).alias("x"))
+        texts = todo.select("id", "pair", F.explode(F.array(*[F.struct((2 * F.col("pair") + j).alias("side"), bits.alias("bits"), F.col(c).alias("d")) for j, c in enumerate("lr")])).alias("x"))
+        texts = texts.select("id", F.expr("shiftleft(1, pair)").alias("pairs"), "x")
 
 
 def printed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(id, one text for each entry of ``columns``): name -> column of digests.  A fingerprint is the number of digests
     and the first trial's sketch: cell, count, key and checksum of each cell that is not empty."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("d")) for i, c in enumerate(columns.values())])
-    cells = sketches(rows.select("id", F.explode(sides).alias("x")).select("id", "x.side", F.lit(BASE_BITS).alias("bits"), F.lit(0).alias("trial"), "x.d"))
+    cells = sketches(rows.select("id", F.explode(sides).alias("x")).select("id", "x.side", F.lit(0).alias("pairs"), F.lit(BASE_BITS).alias("bits"), F.lit(0).alias("trial"), "x.d"))
 
     def text(i: int) -> Column:
         mine = F.array_sort(F.collect_list(F.when(F.col("side") == i, F.struct("cell", "c", "k", "h"))))
@@ -181,10 +198,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs.select("doc_id", "text")).withColumn("n_chars", n).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next_text, 1, cast(n_chars div 4 as int)))"))
     rows = rows.select("id", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("a"), digests("edited").alias("e"), digests("next_text").alias("x"))
     rows = materialize(rows, "digests")
-    found = differences(rows.select("id", "a", "e", "x"), [("a", "e"), ("a", "x")])
+    found = differences(rows.select("id", "a", "e", "x"), [("a", "e", EDITED), ("a", "x", 1.0)], recover=[0])
     of = lambda pair, column: F.first(F.when(F.col("pair") == pair, F.col(column)), ignorenulls=True)
-    counted = found.withColumns({"m": F.size("mine"), "o": F.size("other")})
-    found = counted.groupBy("id").agg(of(0, "mine").alias("removed"), of(0, "other").alias("added"), *[of(i, c).alias(f"{c}{i}") for i in (0, 1) for c in "mo"])
+    found = found.groupBy("id").agg(of(0, "mine").alias("removed"), of(0, "other").alias("added"), *[of(i, f"n_{c}").alias(f"{c}{i}") for i in (0, 1) for c in ("mine", "other")])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "id")
     made = printed(dealt.select("id", "a", "e"), {"fingerprint": "a", "edited_fingerprint": "e"})
@@ -192,7 +208,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
 
     def likeness(pair: int) -> Column:
-        mine, other = (F.coalesce(F.col(f"{c}{pair}"), F.lit(0)) for c in "mo")
+        mine, other = (F.coalesce(F.col(f"{c}{pair}"), F.lit(0)) for c in ("mine", "other"))
         return (F.col("na") - mine) / (F.col("na") + other).cast("double")
 
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(0).alias("near_edited"), likeness(1).alias("near_next"), F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"))

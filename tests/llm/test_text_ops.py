@@ -472,9 +472,16 @@ def test_fingerprints_and_recovered_digests_equal_brute_force(spark):
 
 
 def test_sketches_retry_larger(spark):
-    sets = spark.createDataFrame([(1, list(range(500)), list(range(250, 900)), [1]), (2, [7], [7], [8]), (3, [], [], [])], "id long, a array<long>, b array<long>, c array<long>")
-    out = {(x.id, x.pair): (x.mine, x.other) for x in iblt.differences(sets, [("a", "b"), ("a", "c")]).collect()}
-    assert out == {(1, 0): (list(range(250)), list(range(500, 900))), (1, 1): ([0, *range(2, 500)], []), (2, 1): ([7], [8])}
+    sets = spark.createDataFrame([(1, list(range(500)), list(range(250, 900)), [1]), (2, [7], [7], [8]), (3, [], [], []), (4, list(range(30)), list(range(40, 80)), list(range(25)))], "id long, a array<long>, b array<long>, c array<long>")
+    want = {(1, 0): (list(range(250)), list(range(500, 900))), (1, 1): ([0, *range(2, 500)], []), (2, 1): ([7], [8]), (4, 0): (list(range(30)), list(range(40, 80))), (4, 1): (list(range(25, 30)), [])}
+    # expecting nothing to differ, all pairs start with the fingerprint's cells; expecting all, most start with more
+    for share in (0.0, 0.5, 1.0):
+        rows = iblt.differences(sets, [("a", "b", share), ("a", "c", share)]).collect()
+        out = {(x.id, x.pair): (x.mine, x.other) for x in rows if x.mine or x.other}
+        assert out == want and all((x.n_mine, x.n_other) == (len(x.mine), len(x.other)) for x in rows)
+    rows = iblt.differences(sets, [("a", "b", 0.0), ("a", "c", 0.5)], recover=[1]).collect()
+    assert {(x.id, x.pair): (x.n_mine, x.n_other) for x in rows if x.n_mine or x.n_other} == {k: (len(a), len(b)) for k, (a, b) in want.items()}
+    assert all(not x.mine and not x.other for x in rows if x.pair == 0)
 
 
 def test_blocks():
