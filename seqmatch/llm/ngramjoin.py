@@ -6,8 +6,10 @@
    meets with probability 1 - (1 - 0.8**3)**20 > 1 - 1e-6.
 3. Within a bucket, MinHash values are compared some at a time.  After n values of which m agree, a pair is dropped as
    soon as the posterior probability that its similarity reaches the threshold, under a uniform prior, is below the
-   tolerance.  Buckets over a fixed size are dealt out as pairs of blocks.  A task returns a spanning forest of the
-   pairs that are left, never the pairs.
+   tolerance.  Buckets over a fixed size are cut into blocks; each is compared with itself and with the first one.  Where
+   that leaves a bucket in several connected groups, all rows outside of the largest group are compared with all rows,
+   block by block, so a large bucket of near copies takes time in proportion to its size.  A task returns a spanning
+   forest of the pairs that are left, never the pairs.
 4. Each connected group of what is left is verified exactly: all similarities within it from the full shingle sets, in
    pairs of blocks where it is large.  A task returns the number of links of each node and a forest of the links.
 5. Classes are the connected components of the links.
@@ -30,7 +32,7 @@ from .shingles import U, mix, shingle_sets
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 20, 3
 STEP = 12
-BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 1024, 1024, 1 << 20
+BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 512, 1024, 1 << 20
 WORDS = 1 << 18
 WORD = "[^ \\t-\\r]"
 _rng = np.random.RandomState(20240229)
@@ -188,13 +190,35 @@ def _may_be_in(rows: DataFrame, h: str, bitmap: DataFrame, name: str) -> DataFra
 
 
 def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the pairs in each bucket that Bayesian pruning leaves."""
+    """Edges (u, v) that connect what the pairs in each bucket connect that Bayesian pruning leaves."""
     band = ", ".join(f"xxhash64({b}, {', '.join(f'sig[{b * ROWS + r}]' for r in range(ROWS))})" for b in range(BANDS))
     banded = nodes.select("k1", "k2", F.explode(F.expr(f"array({band})")).alias("band"))
     full = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     meet = banded.join(full.hint("merge"), "band")  # the list of buckets grows with the input: never broadcast
-    meet = _dealt(meet, ["k1", "k2"], F.ceil(F.col("size") / F.lit(BUCKET_BLOCK))).drop("size")
-    meet = meet.join(nodes.select("k1", "k2", "sig"), ["k1", "k2"])
+    block = "cast(pmod(xxhash64('block', k1, k2), ceil(size / {0})) as int)".format(BUCKET_BLOCK)
+    first = f"transform(sequence(0, cast(ceil(size / {BUCKET_BLOCK}) as int) - 1), j -> named_struct('i', 0, 'j', j, 'side', 0))"
+    other = "array(named_struct('i', mine, 'j', mine, 'side', 0), named_struct('i', 0, 'j', mine, 'side', 1))"
+    units = meet.withColumn("mine", F.expr(block)).select("band", "k1", "k2", F.explode(F.expr(f"if(mine = 0, {first}, {other})")).alias("x"))
+    edges = materialize(_compared(units, nodes, threshold, tolerance), "bucket-links")
+    large = full.where(F.col("size") > BUCKET_BLOCK)
+    if not large.head(1):
+        return edges
+    groups = components(edges, "bucket-groups").select("root", F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
+    rows = banded.join(large.hint("merge"), "band").join(groups.hint("merge"), ["k1", "k2"], "left")
+    rows = materialize(rows.select("band", "size", "k1", "k2", F.coalesce("root", F.struct("k1", "k2")).alias("root")), "large-buckets")
+    most = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others"))
+    most = materialize(most.where("others > 0"), "largest-groups")
+    rows = rows.join(most.hint("merge"), "band").withColumn("mine", F.expr(block)).withColumn("few", F.expr(f"cast(ceil(others / {BUCKET_BLOCK}) as int)"))
+    right = "transform(sequence(0, few - 1), i -> named_struct('i', -1 - i, 'j', mine, 'side', 1))"
+    left = f"transform(sequence(0, cast(ceil(size / {BUCKET_BLOCK}) as int) - 1), j -> named_struct('i', -1 - cast(pmod(xxhash64('few', k1, k2), few) as int), 'j', j, 'side', 0))"
+    units = rows.select("band", "k1", "k2", F.explode(F.expr(f"if(root = most, {right}, concat({left}, {right}))")).alias("x"))
+    return edges.unionByName(materialize(_compared(units, nodes, threshold, tolerance), "bucket-links"))
+
+
+def _compared(units: DataFrame, nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Spanning forests of the pairs that are never pruned within units (band, i, j): of all its rows if all have side 0,
+    else of those between side 0 and side 1."""
+    meet = units.select("band", F.col("x.i").alias("unit_i"), F.col("x.j").alias("unit_j"), F.col("x.side").alias("side"), "k1", "k2").join(nodes.select("k1", "k2", "sig"), ["k1", "k2"])
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = meet.repartition(parts, "band", "unit_i", "unit_j").sortWithinPartitions("band", "unit_i", "unit_j").select("band", "unit_i", "unit_j", "side", "k1", "k2", "sig")
     least = least_matches(threshold, tolerance)
@@ -203,14 +227,15 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
         for t in _grouped(batches, 3):
             k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
             sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            unit_i, unit_j, side = (t.column(c).to_numpy() for c in ("unit_i", "unit_j", "side"))
+            side = t.column("side").to_numpy()
             bounds = _bounds(t, 3)
             sizes = np.diff(bounds)
+            crossed = np.maximum.reduceat(side, bounds[:-1]) > 0
             us, vs = [], []
-            for m in np.unique(sizes[sizes <= 8]):  # many small buckets at once
+            for m in np.unique(sizes[(sizes <= 8) & ~crossed]):  # many small buckets at once
                 if m < 2:
                     continue
-                first = bounds[:-1][sizes == m]
+                first = bounds[:-1][(sizes == m) & ~crossed]
                 for a in range(m):
                     for b in range(a + 1, m):
                         i, j = first + a, first + b
@@ -222,15 +247,15 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
                             i, j, got = i[ok], j[ok], got[ok]
                         us.append(i)
                         vs.append(j)
-            for g in np.flatnonzero(sizes > 8):
+            for g in np.flatnonzero((sizes > 8) | crossed):
                 a, b = bounds[g], bounds[g + 1]
-                if unit_i[a] == unit_j[a]:
-                    i, j = _survivors(sig[a:b], sig[a:b], least, True)
-                    i, j = i + a, j + a
-                else:
+                if crossed[g]:
                     x, y = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
                     i, j = _survivors(sig[x], sig[y], least, False)
                     i, j = x[i], y[j]
+                else:
+                    i, j = _survivors(sig[a:b], sig[a:b], least, True)
+                    i, j = i + a, j + a
                 root = _roots(int(b - a), zip((i - a).tolist(), (j - a).tolist(), strict=True))
                 tied = np.flatnonzero(root != np.arange(b - a))
                 us.append(tied + a)
