@@ -6,13 +6,13 @@ added to one cell of each group.  A cell holds how many digests it has, their ex
 
 The fingerprint of a text is its sketch of CELLS cells, whatever the text's length.  Two sketches are subtracted cell
 by cell, which leaves the digests that only one of the texts has.  *Peeling* takes out digests that stand alone in a
-cell, one group of cells after the other, for some rounds; what a cell of one group gives up is subtracted from its
+cell, one group of cells after the other, for some turns; what a cell of one group gives up is subtracted from its
 cells in the others.  The digests taken out are the difference.  Where cells are left, or the texts' numbers of digests
 say that the difference will hardly fit, both texts are sketched again with more cells, hashed anew, until peeling
 empties them.
 
-Cells are rows (id, side or pair, cell, count, key, checksum), empty ones left out, and a round is one ``explode`` and
-one aggregation by cell.  The digests are dealt by id once; all rounds keep that dealing, so cells never travel.
+Cells are rows (id, side or pair, cell, count, key, checksum), empty ones left out, and a turn is one ``explode`` and
+one aggregation by cell.  The digests are dealt by id once; all turns keep that dealing, so cells never travel.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import materialize
 
 GROUPS, BASE_BITS, MAX_BITS = 3, 4, 40
 CELLS = GROUPS << BASE_BITS
-ROUNDS, MORE_ROUNDS, FULL = 4, 2, 0.75
+TURNS, MORE_TURNS, FULL = 12, 5, 0.75
 EDITED = 0.35
 RANGES, MOST_RANGES = 8, 1 << 14
 PARAGRAPH = "\\n|(?<=[.]) "
@@ -72,14 +72,14 @@ def subtract(cells: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return _summed(rows.select("id", "use.pair", "bits", "trial", "cell", (F.col("c") * F.col("use.sign")).alias("c"), "k", "h"), PAIR)
 
 
-def peel(cells: DataFrame, rounds: int, recover: list[int]) -> DataFrame:
+def peel(cells: DataFrame, turns: int, recover: list[int]) -> DataFrame:
     """(id, pair, bits, trial, n_mine, n_other, mine, other, ok): how many digests only the first and only the second side
     has, these digests for the pairs in ``recover``, and whether all cells were emptied.
 
     In the turn of a group each key is in one cell of it, so none is taken twice.  A key that is taken out becomes a row
     of its own, under a negative cell number, or is counted in the cell MINE or OTHER."""
     named = F.col("pair").isin(recover) if recover else F.lit(False)
-    for turn in range(rounds * GROUPS):
+    for turn in range(turns):
         g = turn % GROUPS
         alone = (F.col("cell") >= 0) & (F.col("cell") % GROUPS == g) & (F.abs("c") == 1) & (F.col("h") == F.xxhash64("k"))
 
@@ -103,7 +103,7 @@ def differences(sets: DataFrame, pairs: list[tuple[str, str, float]], recover: l
 
     The third entry of a pair is the share of both sides' digests that is expected to differ.  Where that is at most FULL
     times the cells of a fingerprint, the first trial subtracts the fingerprints' sketches.  Other pairs, and those that
-    fail, are sketched with eight times as many cells or three for each digest if that is more, and so on; a table is
+    fail, are sketched with eight times as many cells or six for each digest if that is more, and so on; a table is
     written for each trial.  Pairs without a difference may be missing in the result."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     recover = list(range(len(pairs))) if recover is None else recover
@@ -122,7 +122,7 @@ def differences(sets: DataFrame, pairs: list[tuple[str, str, float]], recover: l
         dealt = texts.select("id", "x.side", "pairs", "x.bits", F.lit(trial).alias("trial"), "x.d").repartition(parts, "id")
         # in later trials sides are numbered by pair: 2 i and 2 i + 1
         numbered = [(2 * i, 2 * i + 1) for i in range(len(pairs))] if trial else [(names.index(a), names.index(b)) for a, b, _ in pairs]
-        result = materialize(peel(subtract(sketches(dealt), numbered), MORE_ROUNDS if trial else ROUNDS, recover), what)
+        result = materialize(peel(subtract(sketches(dealt), numbered), MORE_TURNS if trial else TURNS, recover), what)
         done.append(result.where("ok").drop("ok", "bits", "trial"))
         failed = result.where("not ok").select(F.col("id").alias("__id"), F.col("pair").alias("__pair"))
         if trial:
@@ -131,9 +131,9 @@ def differences(sets: DataFrame, pairs: list[tuple[str, str, float]], recover: l
             todo = todo.join(failed, (F.col("id") == F.col("__id")) & (F.col("pair") == F.col("__pair")), "left_semi")
         else:
             again = sets.join(failed, F.col("id") == F.col("__id")).withColumn("pair", F.col("__pair"))
-            todo = materialize(todo.unionByName(again.select("id", "pair", left.alias("l"), right.alias("r"))), "larger")
+            todo = todo.unionByName(again.select("id", "pair", left.alias("l"), right.alias("r")))
         trial += 1
-        bits = F.greatest(F.lit(BASE_BITS + 3 * trial), F.ceil(F.log2((F.size("l") + F.size("r") + 1).cast("double"))) + (trial - 1)).cast("int")
+        bits = F.greatest(F.lit(BASE_BITS + 3 * trial), F.ceil(F.log2((F.size("l") + F.size("r") + 1).cast("double"))) + trial).cast("int")
         bits = F.least(F.lit(MAX_BITS), bits)
         texts = todo.select("id", "pair", F.explode(F.array(*[F.struct((2 * F.col("pair") + j).alias("side"), bits.alias("bits"), F.col(c).alias("d")) for j, c in enumerate("lr")])).alias("x"))
         texts = texts.select("id", F.expr("shiftleft(1, pair)").alias("pairs"), "x")
