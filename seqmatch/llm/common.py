@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_path, shared_dir
 
-__all__ = ["blocks", "free_names", "hash128", "materialize", "new_path", "shared_dir", "table", "text_buffer", "without"]
+__all__ = ["bitmap", "blocks", "free_names", "hash128", "materialize", "may_be_in", "new_path", "shared_dir", "table", "text_buffer", "without"]
+WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,29 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of the 64-bit hashes ``h``, at most WORDS rows however many there are."""
+    return materialize(hashes.groupBy(_word("h").alias("word")).agg(F.bit_or(_bit("h")).alias("bits")), "bitmap")
+
+
+def _word(h: str) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(WORDS)).cast("int")
+
+
+def _bit(h: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+
+
+def may_be_in(rows: DataFrame, h: str, marks: DataFrame, name: str) -> DataFrame:
+    """Add the boolean column ``name``: false only where the hash ``h`` is none of the bitmap's.
+
+    The bitmap is broadcast: its bound is WORDS rows of 12 bytes.  Most rows of a corpus are none of those looked for,
+    and so stay where they are; where the bitmap is full, all rows go the way of those that may be in it."""
+    word, bits = free_names(rows, "__word", "__bits")
+    marks = marks.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    return rows.join(F.broadcast(marks), _word(f"`{h}`") == F.col(word), "left").withColumn(name, F.coalesce(F.col(bits).bitwiseAND(_bit(f"`{h}`")) != 0, F.lit(False))).drop(word, bits)
+
+
 def text_buffer(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of an Arrow string or binary array, without copies; nulls are empty."""
     if isinstance(values, pa.ChunkedArray):

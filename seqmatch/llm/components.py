@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(edges: DataFrame, what: str) -> tuple[DataFrame, tuple]:
+    """The edges in the shared folder, and their number and a hash of all of them, taken while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("all")), what)
+    return out, (seen.get["n"], seen.get["all"])
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
@@ -26,16 +29,16 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         low = materialize(rows.groupBy("u").agg(F.min("v").alias("m")), what)
         return low.hint("merge")  # it grows with the input: never broadcast
 
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), what)
-    seen = _print_of(now)
+    now, seen = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), what)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.join(least(both), "u").withColumn("m", F.least("u", "m"))
-        large = materialize(near.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), what)
+        large = near.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, what)
         near = large.join(least(large), "u")
         pairs = F.array_compact(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.when(F.col("v") != F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-        now, before = materialize(near.select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct(), what), seen
-        seen = _print_of(now)
+        before = seen
+        now, seen = _written(near.select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct(), what)
         if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -25,15 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, hash128, materialize, text_buffer
+from .common import bitmap, free_names, hash128, materialize, may_be_in, text_buffer
 from .components import components
 from .shingles import U, mix, shingle_sets
 
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 20, 3
 STEP = 12
-BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 512, 1024, 1 << 20
-WORDS = 1 << 18
+BUCKET_BLOCK, VERIFY_BLOCK, MOST_BLOCK, VERIFY_GRAMS, BLOCKS = 512, 256, 4096, 1 << 20, 64
 WORD = "[^ \\t-\\r]"
 _rng = np.random.RandomState(20240229)
 _A = (_rng.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -84,21 +83,31 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n long, sig array<int>")
 
 
-def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
-    """Smallest number that each of 0..n-1 reaches."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(n)], np.int64)
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest number that each of 0..n-1 reaches over the pairs (i, j)."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _roots_of(n: int, hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same where ``hit`` says which of ``left`` are linked with which of ``right``."""
+    low = np.arange(n, dtype=np.int32)
+    while True:
+        new = low.copy()
+        new[left] = np.minimum(new[left], np.where(hit, low[right][None, :], n).min(axis=1))
+        new[right] = np.minimum(new[right], np.where(hit, low[left][:, None], n).min(axis=0))
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
 def _survivors(left: np.ndarray, right: np.ndarray, least: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -166,29 +175,6 @@ def _dealt(rows: DataFrame, node: list[str], n_blocks: Column) -> DataFrame:
     return rows.select("*", F.least("__mine", "__other").alias("unit_i"), F.greatest("__mine", "__other").alias("unit_j"), (F.col("__mine") > F.col("__other")).cast("int").alias("side")).drop("__mine", "__other", "__blocks")
 
 
-def _bits(hashes: DataFrame) -> DataFrame:
-    """(word, bits): a bitmap of the numbers ``h``, at most WORDS rows however many there are."""
-    return materialize(hashes.groupBy(_word("h").alias("word")).agg(F.bit_or(_bit("h")).alias("bits")), "bitmap")
-
-
-def _word(h: str) -> Column:
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(WORDS)).cast("int")
-
-
-def _bit(h: str) -> Column:
-    return F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
-
-
-def _may_be_in(rows: DataFrame, h: str, bitmap: DataFrame, name: str) -> DataFrame:
-    """Add the boolean column ``name``: false only where the number ``h`` is none of the bitmap's.
-
-    The bitmap is broadcast: its bound is WORDS rows of 12 bytes.  Most rows of a corpus are none of those looked for,
-    and so stay where they are; where the bitmap is full, all rows go the way of those that may be in it."""
-    word, bits = free_names(rows, "__word", "__bits")
-    bitmap = bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))
-    return rows.join(F.broadcast(bitmap), _word(f"`{h}`") == F.col(word), "left").withColumn(name, F.coalesce(F.col(bits).bitwiseAND(_bit(f"`{h}`")) != 0, F.lit(False))).drop(word, bits)
-
-
 def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Edges (u, v) that connect what the pairs in each bucket connect that Bayesian pruning leaves."""
     band = ", ".join(f"xxhash64({b}, {', '.join(f'sig[{b * ROWS + r}]' for r in range(ROWS))})" for b in range(BANDS))
@@ -256,7 +242,7 @@ def _compared(units: DataFrame, nodes: DataFrame, threshold: float, tolerance: f
                 else:
                     i, j = _survivors(sig[a:b], sig[a:b], least, True)
                     i, j = i + a, j + a
-                root = _roots(int(b - a), zip((i - a).tolist(), (j - a).tolist(), strict=True))
+                root = _roots(int(b - a), i - a, j - a)
                 tied = np.flatnonzero(root != np.arange(b - a))
                 us.append(tied + a)
                 vs.append(root[tied] + a)
@@ -282,7 +268,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     order = np.argsort(column, kind="stable")
     column, of = column[order], of[order]
     common = np.zeros((len(left), len(right)), np.float32)
-    width = 4096
+    width = max(256, (1 << 23) // len(sets))
     total = int(column[-1]) + 1 if len(column) else 0
     for c in range(0, total, width):
         a, b = np.searchsorted(column, [c, c + width])
@@ -301,7 +287,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, thr
     t1, t2 = hash128("text")
     chosen = member.select(F.col("rep").alias("__rep"), "rep1", "rep2")
     texts = docs.where(F.col("text").rlike(WORD)).select("doc_id", t1.alias("rep1"), t2.alias("rep2"), "text")
-    texts = _may_be_in(texts, "rep1", _bits(chosen.select(F.col("rep1").alias("h"))), "__in").where("__in")
+    texts = may_be_in(texts, "rep1", bitmap(chosen.select(F.col("rep1").alias("h"))), "__in").where("__in")
     chosen = chosen.hint("merge")  # it grows with the input: never broadcast
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__rep")) & (texts["rep1"] == chosen["rep1"]) & (texts["rep2"] == chosen["rep2"]), "left_semi").select("text")
 
@@ -316,7 +302,8 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, thr
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([x.tobytes() for x in np.split(h, first[1:])], pa.binary())], names=["k1", "k2", "grams"])
 
     grams = texts.mapInArrow(sets, "k1 long, k2 long, grams binary").dropDuplicates(["k1", "k2"])
-    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(VERIFY_BLOCK), F.col("grams") / F.lit(VERIFY_GRAMS)))
+    # up to BLOCKS blocks of VERIFY_BLOCK sets, then as many larger ones, as far as memory allows: a row is repeated for each
+    n_blocks = F.ceil(F.greatest(F.least(F.col("size") / F.lit(VERIFY_BLOCK), F.lit(float(BLOCKS))), F.col("size") / F.lit(MOST_BLOCK), F.col("grams") / F.lit(VERIFY_GRAMS)))
     rows = _dealt(member.drop("rep", "rep1", "rep2", "n").join(sizes.hint("merge"), ["r1", "r2"]), ["k1", "k2"], n_blocks).drop("size", "grams").join(grams, ["k1", "k2"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["r1", "r2", "unit_i", "unit_j"]
@@ -341,11 +328,10 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, thr
                     np.fill_diagonal(hit, False)
                 else:
                     number[right] += hit.sum(axis=0)
-                    weight[right] += copies[a:b][left] @ hit
+                    weight[right] += (copies[a:b][left].astype(float) @ hit).astype(np.int64)
                 number[left] += hit.sum(axis=1)
-                weight[left] += hit @ copies[a:b][right]
-                i, j = np.nonzero(hit)
-                root = _roots(b - a, zip(left[i].tolist(), right[j].tolist(), strict=True))
+                weight[left] += (hit @ copies[a:b][right].astype(float)).astype(np.int64)
+                root = _roots_of(b - a, hit, left, right)
                 own = np.flatnonzero(number)
                 tied = np.flatnonzero(root != np.arange(b - a))
                 u = np.concatenate([own, tied]) + a
@@ -398,7 +384,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
     found = classes(docs, width, threshold, tolerance)
     repeated = found.where(F.col("t1").isNotNull()).groupBy("doc_id", "t1", "t2", "keeper").agg(F.count(F.lit(1)).alias("n")).where("not keeper or n > 1")
     special = materialize(repeated.select("doc_id", "t1", "t2", "keeper"), "special")
-    rows = _may_be_in(docs.withColumns({t1: of_text[0], t2: of_text[1]}), t1, _bits(special.select(F.col("t1").alias("h"))), in_)
+    rows = may_be_in(docs.withColumns({t1: of_text[0], t2: of_text[1]}), t1, bitmap(special.select(F.col("t1").alias("h"))), in_)
     rows = rows.withColumn(in_, F.col(in_) & F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     drop = special.where("not keeper").select(F.col("doc_id").alias(gone), F.col("t1").alias(u1), F.col("t2").alias(u2)).hint("merge")  # it grows with the input: never broadcast
     kept = rows.where(F.col(in_)).join(drop, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(t1) == F.col(u1)) & (F.col(t2) == F.col(u2)), "left_anti")
