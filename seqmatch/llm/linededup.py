@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, hash128, materialize, without
+from .common import bitmap, free_names, hash128, materialize, may_be_in, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,7 +26,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
     Distinct documents are counted for each hash with map-side combination, and the hashes over the threshold meet the
     positions again (a broadcast below Spark's limit, else a shuffle join whose hot keys adaptive execution can split).
     A text is put together again by position: from the slices of its lines between the positions that it loses, which
-    takes time in proportion to its lines.  Only hashes travel; whole texts are shuffled once, to meet their positions.
+    takes time in proportion to its lines.  Only hashes travel, and once the texts that lose lines, to meet their
+    positions; a bitmap of bounded size tells them from the others, which stay where they are.
 
     Returns the columns of ``docs`` with ``text`` rewritten, and ``n_lines`` (before dropping) and ``n_dropped``.
     * null or empty text: one empty line; the text stays as it is.
@@ -37,7 +38,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
     * input columns named n_lines or n_dropped are replaced; all others, however named, pass through.
     """
     docs = without(docs, *ADDED)
-    t1, t2, doc, u1, u2, lost, all_lines, kept = free_names(docs, "__t1", "__t2", "__doc", "__u1", "__u2", "__lost", "__lines", "__kept")
+    t1, t2, doc, u1, u2, lost, all_lines, kept, may = free_names(docs, "__t1", "__t2", "__doc", "__u1", "__u2", "__lost", "__lines", "__kept", "__may")
     of_text = hash128(F.coalesce("text", F.lit("")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     texts = docs.select(F.col("doc_id").alias("doc"), of_text[0].alias("t1"), of_text[1].alias("t2"), lines.alias("lines"))
@@ -49,15 +50,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
     hits = materialize(hits.select("h1", "h2", "keeper"), "line-hits")
     gone = keyed.join(hits, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy(F.col("doc").alias(doc), F.col("t1").alias(u1), F.col("t2").alias(u2)).agg(F.array_sort(F.collect_set("pos")).alias(lost))
-    rows = docs.withColumns({t1: of_text[0], t2: of_text[1]}).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(t1) == F.col(u1)) & (F.col(t2) == F.col(u2)), "left")
-    rows = rows.withColumn(all_lines, lines)
+    gone = materialize(gone, "lost-lines")
+    rows = may_be_in(docs.withColumns({t1: of_text[0], t2: of_text[1]}), t1, bitmap(gone.select(F.col(u1).alias("h"))), may)
+    cut = rows.where(F.col(may)).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(t1) == F.col(u1)) & (F.col(t2) == F.col(u2)), "left").withColumn(all_lines, lines)
     between = f"transform(arrays_zip(concat(array(0), transform({lost}, p -> p + 1)), concat({lost}, array(size({all_lines})))), s -> slice({all_lines}, s['0'] + 1, s['1'] - s['0']))"
-    rows = rows.withColumn(kept, F.when(F.col(lost).isNotNull(), F.array_join(F.flatten(F.expr(between)), "\n")).otherwise(F.col("text")))
-    return rows.select(
-        *[F.col(kept).alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(all_lines).cast("long").alias("n_lines"),
-        F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_dropped"),
-    )
+    cut = cut.withColumn(kept, F.when(F.col(lost).isNotNull(), F.array_join(F.flatten(F.expr(between)), "\n")).otherwise(F.col("text")))
+    names = [c for c in docs.columns if c.lower() != "text"]
+    order = [F.col(f"`{c}`") for c in docs.columns] + [F.col(c) for c in ADDED]
+    cut = cut.select(*[F.col(f"`{c}`") for c in names], F.col(kept).alias("text"), F.size(all_lines).cast("long").alias("n_lines"), F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_dropped"))
+    whole = rows.where(~F.col(may)).select(*[F.col(f"`{c}`") for c in names], "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return cut.unionByName(whole).select(*order)
 
 
 ORACLE = """
