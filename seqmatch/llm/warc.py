@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bitmap, materialize, may_be_in, new_path
 
 CHUNK = 1 << 20
 LEAST = 100
@@ -38,18 +38,22 @@ def _open(uri: str, mode: str):
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, __payload, __digest, __first (smallest page_id with the payload, if repeated) and __revisit of pages.
+    """page_id, url, __payload, __digest and __first (the page_id that a revisit refers to, else null) of pages.
 
     Of pages with equal payloads of ``least`` bytes or more, that with the smallest page_id is the response.  Only
-    digests are grouped, with map-side combination; a page meets its group's first page_id by a join whose hot digests
-    adaptive execution can split.  A digest that occurs once needs no partner, so the joined side has repeated ones only.
+    digests are grouped, with map-side combination.  A digest that occurs once needs no partner: a bitmap of bounded
+    size of the repeated ones lets its page stay where it is, and only pages that may have one are shuffled with their
+    payload to meet their group's first page_id, by a join whose hot digests adaptive execution can split.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("__payload"))
-    rows = rows.withColumn("__digest", F.sha2("__payload", 256))
+    rows = rows.withColumn("__digest", F.sha2("__payload", 256)).withColumn("__h", F.xxhash64("__digest"))
     first = rows.where(F.octet_length("__payload") >= least).groupBy(F.col("__digest").alias("__d")).agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    rows = rows.join(first, F.col("__digest") == F.col("__d"), "left").drop("__d")
-    again = F.coalesce(F.col("page_id") > F.col("__first"), F.lit(False))
-    return rows.withColumn("__revisit", again)
+    first = materialize(first, "repeated")
+    rows = may_be_in(rows, "__h", bitmap(first.select(F.xxhash64("__d").alias("h"))), "__may").drop("__h")
+    met = rows.where("__may").join(first.hint("merge"), F.col("__digest") == F.col("__d"), "left").drop("__d", "__may")
+    met = met.withColumn("__first", F.when(F.col("page_id") > F.col("__first"), F.col("__first")))
+    alone = rows.where("not __may").drop("__may").withColumn("__first", F.lit(None).cast(pages.schema["page_id"].dataType))
+    return met.unionByName(alone)
 
 
 def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -74,7 +78,7 @@ def write(pages: DataFrame, path: str | None = None, least: int = LEAST, roll: i
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    rows = plan_records(pages, least).select("page_id", "url", "__payload", "__digest", F.when(F.col("__revisit"), F.col("__first")).alias("__first"))
+    rows = plan_records(pages, least).select("page_id", "url", "__payload", "__digest", "__first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n, size = "", None, 0, 0
