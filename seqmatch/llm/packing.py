@@ -28,12 +28,22 @@ SEPARATOR = 0
 GROUPS, GROUP_ROWS = 1 << 16, 1_000
 _SLICE = 1 << 20
 # letters and digits that all versions of Unicode take for such; marks but the apostrophe, which may begin a contraction
-_WORD, _MARK = "0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЁА-яё", r"!-&(-/:-@\[-`{-~"
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЁА-яё", r"!-&(-/:-@\[-`{-~"
+_WORD = "0-9" + _LETTER
+_ONE = re.compile(f" ?(?:[{_LETTER}]+|[0-9]+|[{_MARK}]+)")
 _PARTS = re.compile(f"[ \n]*[{_WORD}]+(?:'[{_WORD}]+)*|[ \n]*[{_MARK}']+|[ \n]+")
 _CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
 _KNOWN, _SHORT = 1 << 18, 64
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones of Latin-1 stand for themselves, the others
+    for those from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class _Known(dict):
     """Ids of parts of texts as bytes, found when they are first asked for.  Two generations of _KNOWN parts at most are
     kept: when the younger one is full it becomes the older, from which what is still in use comes back."""
@@ -79,7 +89,14 @@ def tokenizer(path: str | None = None) -> Callable[[str], np.ndarray]:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    known = _Known(lambda part: t.encode(part, add_special_tokens=False).ids)
+    model, letters = t.model, _byte_letters()
+
+    def ids_of(part: str) -> list[int]:
+        if _ONE.fullmatch(part):  # one token to be: the rules that cut texts have nothing to do
+            return [x.id for x in model.tokenize(part.encode().decode("latin-1").translate(letters))]
+        return t.encode(part, add_special_tokens=False).ids
+
+    known = _Known(ids_of)
 
     def encode(text: str) -> np.ndarray:
         parts = _PARTS.findall(text)
