@@ -17,6 +17,7 @@ one aggregation by cell.  The digests are dealt by id once; all turns keep that
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,7 +175,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     low = sorted((r["__range"], r["none"], r["low"]) for r in docs.select("doc_id").withColumn("__range", F.expr(find)).groupBy("__range").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
     if not low:
         return rows.withColumns({"next_text": F.lit(None).cast("string"), "id": F.lit(0).cast("long")})
-    before = spark.createDataFrame([(low[i][0], None if low[i][1] else low[i][2], low[i - 1][0]) for i in range(len(low))], "__in int, __low long, __to int")
+    listed = json.dumps([{"in": low[i][0], "low": None if low[i][1] else low[i][2], "to": low[i - 1][0]} for i in range(len(low))])
+    before = spark.range(1).select(F.explode(F.from_json(F.lit(listed), "array<struct<`in`: int, low: bigint, `to`: int>>")).alias("x")).select(F.col("x.in").alias("__in"), F.col("x.low").alias("__low"), F.col("x.to").alias("__to"))
     first = ranged.join(F.broadcast(before), (F.col("__range") == F.col("__in")) & F.col("doc_id").eqNullSafe(F.col("__low")))
     first = first.groupBy("__to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("__to").alias("__range"), F.lit(1).alias("__after"))
     both = ranged.withColumn("__after", F.lit(0)).unionByName(first)
