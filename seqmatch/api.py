@@ -19,14 +19,16 @@ def _assemble(m: DataFrame, q: Query, columns: list[str], ids: bool) -> DataFram
     return m.select(*out)
 
 
-def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = None, prune_mode: str = prune.PREDICATES, preference: str = "first_completed", unit: str = "us", by_window: bool = True, model=None) -> DataFrame:
-    """Matches of ``query`` in ``df``, one row each, lazily.
+def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = None, prune_mode: str = prune.PREDICATES, preference: str = "first_completed", unit: str = "us", by_window: bool = True, model=None, spread: bool | None = None) -> DataFrame:
+    """Matches of ``query`` in ``df``, one row each.  Pruning modes with an order of variables, skips and ranges of time run
+    small jobs for counts and bounds when called, and the rest lazily.
 
     ``strategy``: any_match (all combinations), next_row (for each head the first completed one; the default),
     next_match (greedy) or strict (adjacent rows, the default for ``PATTERN (A B C)``); without it the statement's
     AFTER MATCH clause decides.  ``prune_mode`` is one of ``prune.MODES``.  ``preference`` is first_completed or
     sql_standard, for next_row.  ``unit`` is that of an integer time column.  ``by_window`` allows the plan without a
-    join where the query's variables have no conditions on each other.  ``model`` gates the adaptive mode.
+    join where the query's variables have no conditions on each other.  ``model`` gates the adaptive mode.  ``spread`` deals
+    each partition to ranges of time where a plan works on whole partitions; by default if one of a large table is large.
     """
     q = parse(query) if isinstance(query, str) else query
     skip = q.skip if strategy is None else None
@@ -45,9 +47,9 @@ def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = No
     ties = candidates.n_ties(df, q)
     greedy = strategy == NEXT_MATCH or (strategy == NEXT_ROW and preference == "first_completed")
     if strategy == STRICT:
-        out = match.strict(df, q, ties, unit, names)
+        out = match.strict(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
     elif by_window and greedy and not q.dependent and q.partition_by and prune_mode in (prune.NONE, prune.PREDICATES):
-        out = match.next_by_window(df, q, ties, unit, names)
+        out = match.next_by_window(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
     else:
         cands = candidates.split(df, q, unit, whole=not q.measures)
         counts = candidates.counts(df, q) if prune_mode in (prune.JOIN, prune.SEQUENTIAL, prune.SLICED, prune.DUAL, prune.ADAPTIVE) else None

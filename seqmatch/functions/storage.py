@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder, and say how many paths that were.  DataFrames that read
+    from there cannot be run any more, so write results first."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.columns import micros
 from ..functions.storage import materialize
 from ..plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, Predicate, Query
 from .candidates import any_variable, check, own_conditions, tie_columns
+from .sessions import estimated_bytes
 
 
 def _name(r) -> str:
@@ -90,11 +91,23 @@ def next_match(cands: dict[str, DataFrame], q: Query, ties: int) -> DataFrame:
     return out
 
 
-def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[str]) -> DataFrame:
+HOT_BYTES, HOT_ROWS = 1 << 28, 5_000_000
+
+
+def has_hot_partition(df: DataFrame, q: Query) -> bool:
+    """Whether some partition has over HOT_ROWS rows; tables of under HOT_BYTES are not asked."""
+    if not q.partition_by or estimated_bytes(df) < HOT_BYTES:
+        return False
+    most = df.groupBy(*[F.col(f"`{c}`") for c in q.partition_by]).count().agg(F.max("count")).first()[0]
+    return (most or 0) > HOT_ROWS
+
+
+def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[str], spread: bool = False) -> DataFrame:
     """Greedy matches of a query without conditions between variables, in one sort of each partition and no join.
 
     Going back in time, every row learns the next row of the last variable, then every row of the variable before it
-    carries its own continuation along, and so on to the heads.
+    carries its own continuation along, and so on to the heads.  ``spread`` deals partitions to stretches of time as long
+    as the window, each of which also sees the rows of the next one, so that no partition is one task.
     """
     check(df, q)
     flags = {v: own_conditions(q, v) for v in q.variables}
@@ -102,7 +115,13 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
     keys = [F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(q.partition_by)]
     rows = df.where(any_variable(q) & t.isNotNull())
     rows = rows.select(*keys, t.alias("__t"), *[c.alias(f"__o{i}") for i, c in enumerate(tie_columns(df, q))], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[f.alias(f"__is_{v}") for v, f in flags.items()])
-    w = Window.partitionBy(*[f"__p{i}" for i in range(len(keys))]).orderBy(F.desc("__t"), *[F.desc(f"__o{i}") for i in range(ties)]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = [f"__p{i}" for i in range(len(keys))]
+    if spread:
+        stretch = F.floor(F.col("__t") / F.lit(max(1, q.window_us)))
+        rows = rows.withColumn("__range", F.explode(F.array(stretch, stretch - 1)))
+        rows = rows.withColumn(f"__is_{q.variables[0]}", F.col(f"__is_{q.variables[0]}") & (F.col("__range") == stretch))
+        groups = [*groups, "__range"]
+    w = Window.partitionBy(*groups).orderBy(F.desc("__t"), *[F.desc(f"__o{i}") for i in range(ties)]).rowsBetween(Window.unboundedPreceding, -1)
     own = [F.col("__t").alias("t"), *[F.col(f"__o{i}").alias(f"o{i}") for i in range(ties)], *[F.col(f"c__{c.lower()}").alias(c.lower()) for c in names]]
     following = None
     for v in reversed(q.variables):
@@ -121,17 +140,17 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
     return out.where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{q.variables[0]}__t") + F.lit(q.window_us))
 
 
-def strict(df: DataFrame, q: Query, ties: int, unit: str, names: list[str]) -> DataFrame:
-    """Adjacent rows of a partition, all rows counting.  Without a partition, rows are dealt to ranges of time; each
-    range also gets the first rows after it, so that no task sees the whole table."""
+def strict(df: DataFrame, q: Query, ties: int, unit: str, names: list[str], spread: bool = False) -> DataFrame:
+    """Adjacent rows of a partition, all rows counting.  Without a partition key, or to ``spread`` large partitions, rows
+    are dealt to ranges of time; each range also gets the first rows after it, so that no task sees a whole partition."""
     check(df, q)
     t = micros(df, q.time, unit)
     rows = df.where(t.isNotNull()).select(*[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(q.partition_by)], t.alias("__t"), *[c.alias(f"__o{i}") for i, c in enumerate(tie_columns(df, q))], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[own_conditions(q, v).alias(f"__is_{v}") for v in q.variables])
     order = [F.col("__t"), *[F.col(f"__o{i}") for i in range(ties)]]
     keys = [f"__p{i}" for i in range(len(q.partition_by))]
     extra = F.lit(0)
-    if not keys:
-        rows, keys = _ranges(rows, order, len(q.variables) - 1), ["__range"]
+    if spread or not keys:
+        rows, keys = _ranges(rows, keys, order, len(q.variables) - 1), [*keys, "__range"]
         extra = F.col("__extra")
     w = Window.partitionBy(*keys).orderBy(*order)
     fields = ["__t", *[f"__o{i}" for i in range(ties)], *[f"c__{c.lower()}" for c in names]]
@@ -148,32 +167,25 @@ def strict(df: DataFrame, q: Query, ties: int, unit: str, names: list[str]) -> D
     return out.where(reduce(lambda a, b: a & b, keep))
 
 
-def _ranges(rows: DataFrame, order: list[Column], more: int) -> DataFrame:
-    """Deal rows to ranges of time by quantiles, and repeat in each range the ``more`` rows after its end (__extra = 1).
+def _ranges(rows: DataFrame, keys: list[str], order: list[Column], more: int) -> DataFrame:
+    """Deal rows to ranges of time between quantiles, and repeat in each range of a partition the ``more`` rows of the
+    partition after its end (__extra = 1).
 
-    The driver sees the bounds and the number of rows of each range."""
+    What follows a range is among the first ``more`` rows of the later ones: Spark limits those before they are shuffled,
+    so only the bounds go through the driver, and a partition's first rows are as many as ranges times ``more``."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in rows.approxQuantile("__t", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     rows = rows.withColumn("__range", _range_of(cuts, "__t"))
-    sizes = sorted((r["__range"], r["n"]) for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
-    lend = []
-    for i, (mine, _) in enumerate(sizes):
-        need = more
-        for other, n in sizes[i + 1 :]:
-            if need <= 0:
-                break
-            lend.append((other, min(need, n), mine))
-            need -= n
-    rows = rows.withColumn("__extra", F.lit(0))
-    if not lend:
-        return rows
-    # at most (number of ranges) x (number of variables) rows
-    table = F.broadcast(spark.createDataFrame(lend, "__from int, __upto int, __to int"))
-    top = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where(F.col("__n") <= more)
-    lent = top.join(table, (F.col("__range") == F.col("__from")) & (F.col("__n") <= F.col("__upto")))
-    lent = lent.withColumn("__range", F.col("__to")).withColumn("__extra", F.lit(1)).select(*rows.columns)
-    return rows.unionByName(lent)
+    own = rows.withColumn("__extra", F.lit(0))
+    if not more:
+        return own
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))).where(F.col("__n") <= more)
+    along = Window.partitionBy(*keys).orderBy("__range", "__n")
+    first = first.withColumn("__list", F.collect_list(F.struct(*rows.columns)).over(along.rowsBetween(0, more - 1))).where("__n = 1")
+    lent = first.withColumn("__after", F.lead("__list").over(Window.partitionBy(*keys).orderBy("__range")))
+    lent = lent.select(F.col("__range").alias("__to"), F.explode("__after").alias("__row")).select(*[F.col("__to").alias(c) if c == "__range" else F.col(f"__row.{c}").alias(c) for c in rows.columns], F.lit(1).alias("__extra"))
+    return own.unionByName(lent)
 
 
 def _range_of(cuts: list[int], time: str) -> Column:

@@ -35,7 +35,7 @@ def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that a plan's file scans give, which are what its shuffles may hold."""
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    return sum(min(int(leaves.apply(i).stats().sizeInBytes().toString()), 1 << 62) for i in range(leaves.length()))
+    return sum(min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 62) for i in range(leaves.length()))
 
 
 def run_many(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]], action: Callable[[DataFrame], R] = DataFrame.count, at_once: int = 4, most_bytes: int | None = None, retries: int = 1) -> dict[str, R]:

