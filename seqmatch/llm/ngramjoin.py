@@ -32,7 +32,7 @@ from .shingles import U, mix, shingle_sets
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 20, 3
 STEP = 12
-BUCKET_BLOCK, VERIFY_BLOCK, MOST_BLOCK, VERIFY_GRAMS, BLOCKS = 512, 256, 4096, 1 << 20, 64
+BUCKET_BLOCK, VERIFY_BLOCK, MOST_BLOCK, VERIFY_GRAMS, BLOCKS = 512, 256, 4096, 1 << 19, 64
 WORD = "[^ \\t-\\r]"
 _rng = np.random.RandomState(20240229)
 _A = (_rng.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -268,7 +268,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     order = np.argsort(column, kind="stable")
     column, of = column[order], of[order]
     common = np.zeros((len(left), len(right)), np.float32)
-    width = max(256, (1 << 23) // len(sets))
+    width = max(256, (1 << 21) // len(sets))
     total = int(column[-1]) + 1 if len(column) else 0
     for c in range(0, total, width):
         a, b = np.searchsorted(column, [c, c + width])
