@@ -57,6 +57,12 @@ def _buckets(start: str, end: str, width: int) -> Column:
     return F.explode(F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width))))
 
 
+def _unsent(side: DataFrame, keys: list[str]) -> DataFrame:
+    """Keep a set of many keys from being broadcast: Spark guesses its size from the table's before each interval is
+    repeated in every bucket or slice, and the driver would have to hold all of that."""
+    return side.hint("merge") if keys else side
+
+
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] | None = None, width: int = 3_600_000_000) -> DataFrame:
     """Common parts of two merged sets; a pair is made in the bucket where its common part begins."""
     keys = keys or []
@@ -66,7 +72,7 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str] | None = None, width:
     on = (F.col("__b") == F.col("__rb")) & (start <= end) & (F.floor(start / F.lit(width)) == F.col("__b"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(right, on).select(*keys, start.alias("start"), end.alias("end"))
+    return left.join(_unsent(right, keys), on).select(*keys, start.alias("start"), end.alias("end"))
 
 
 def contains(rows: DataFrame, time: str, intervals: DataFrame, keys: list[str] | None = None, width: int = 3_600_000_000) -> DataFrame:
@@ -76,7 +82,7 @@ def contains(rows: DataFrame, time: str, intervals: DataFrame, keys: list[str] |
     on = (F.floor(F.col(time) / F.lit(width)) == F.col("__b")) & F.col(time).between(F.col("__s"), F.col("__e"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return rows.join(right, on, "left_semi")
+    return rows.join(_unsent(right, keys), on, "left_semi")
 
 
 def time_length(intervals: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def slice_and(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> Data
 
 def slice_filter(rows: DataFrame, time: str, slices: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
     """Rows whose slice is in the set."""
-    return _semi(rows.withColumn("slice", slice_of(F.col(time), window)), slices, ["slice", *(keys or [])]).drop("slice")
+    return _semi(rows.withColumn("slice", slice_of(F.col(time), window)), _unsent(slices, keys or []), ["slice", *(keys or [])]).drop("slice")
 
 
 def _semi(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from .match import after, condition, partition
 
 NONE, PREDICATES, JOIN, TWO_TRIPS, SEQUENTIAL, SLICED, DUAL, ADAPTIVE = "none", "predicates", "join", "intervals_keys", "sequential_exact", "slices", "dual", "adaptive"
 MODES = (NONE, PREDICATES, JOIN, TWO_TRIPS, SEQUENTIAL, SLICED, DUAL, ADAPTIVE)
+HOUR = 3_600_000_000
 Candidates = dict[str, DataFrame]
 
 
@@ -44,16 +45,31 @@ def _keyed(cands: Candidates, q: Query, var: str, others: list[str]) -> DataFram
     return rows
 
 
+def _width(q: Query, keys: list[str]) -> int:
+    """Width of the buckets of time in which sets are compared: a key's intervals are as long as the window at least, so
+    narrower ones would repeat each many times.  Without keys few intervals are left, and hours spread the rows."""
+    return max(HOUR, q.window_us) if keys else HOUR
+
+
 def _intervals(cands: Candidates, q: Query, var: str) -> DataFrame:
     keys = partition(cands[var])
-    return iv.coalesce(iv.replay(cands[var], f"{var}__t", q.window_us, q.marker(var), keys), keys)
+    return iv.coalesce(iv.replay(cands[var], f"{var}__t", q.window_us, q.marker(var), keys), keys, _width(q, keys))
+
+
+def _common(a: DataFrame, b: DataFrame, q: Query, keys: list[str]) -> DataFrame:
+    return iv.intersect(a, b, keys, _width(q, keys))
+
+
+def _within(cands: Candidates, q: Query, var: str, times: DataFrame) -> DataFrame:
+    keys = partition(cands[var])
+    return iv.contains(cands[var], f"{var}__t", times, keys, _width(q, keys))
 
 
 def two_trips(cands: Candidates, q: Query) -> Candidates:
     """All intervals and key sets at once, intersected, then one fetch."""
     keys = partition(next(iter(cands.values())))
-    common = materialize(reduce(lambda a, b: iv.intersect(a, b, keys), [_intervals(cands, q, v) for v in q.variables]), "times")
-    inside = {v: iv.contains(cands[v], f"{v}__t", common, keys) for v in q.variables}
+    common = materialize(reduce(lambda a, b: _common(a, b, q, keys), [_intervals(cands, q, v) for v in q.variables]), "times")
+    inside = {v: _within(cands, q, v, common) for v in q.variables}
     return {v: _keyed(inside | {o: cands[o] for o in q.variables if o != v}, q, v, [o for o in q.variables if o != v]) for v in q.variables}
 
 
@@ -66,10 +82,10 @@ def one_by_one(cands: Candidates, q: Query, order: list[str]) -> Candidates:
     allowed_time = materialize(_intervals(now, q, order[0]), "times")
     done = [order[0]]
     for v in order[1:]:
-        now[v] = _keyed(now | {v: iv.contains(now[v], f"{v}__t", allowed_time, keys)}, q, v, done)
-        allowed_time = materialize(iv.intersect(allowed_time, _intervals(now, q, v), keys), "times")
+        now[v] = _keyed(now | {v: _within(now, q, v, allowed_time)}, q, v, done)
+        allowed_time = materialize(_common(allowed_time, _intervals(now, q, v), q, keys), "times")
         done.append(v)
-    return {v: iv.contains(now[v], f"{v}__t", allowed_time, keys) for v in q.variables}
+    return {v: _within(now, q, v, allowed_time) for v in q.variables}
 
 
 def by_slices(cands: Candidates, q: Query, variables: list[str], keyed: bool) -> Candidates:

@@ -225,3 +225,22 @@ def test_spread_partitions_give_the_same(spark, strategy):
         a, b = (sorted(tuple(x) for x in match_recognize(df, sql(names), strategy, unit="s", spread=spread).collect()) for spread in (False, True))
         assert a == b and len(a) > 5
     assert match_recognize(df.limit(0), sql(), strategy, unit="s", spread=True).count() == 0
+
+
+@pytest.mark.parametrize("mode", [prune.TWO_TRIPS, prune.SEQUENTIAL, prune.SLICED, prune.DUAL])
+def test_sets_of_keys_are_not_broadcast(spark, mode):
+    rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], 0.0) for i in range(60)]
+    q = parse(sql(within="'1' DAY"))
+    cands = candidates.split(spark.createDataFrame(rows, SCHEMA), q, "s")
+    for df in prune.reduce_candidates(cands, q, mode, 1).values():
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x]
+        assert not joins
+
+
+def test_a_long_window_repeats_intervals_of_keys_a_few_times_only(spark):
+    rows = [(i, i * 10 * 86400, str(i % 7), "ABC"[i % 3], 0.0) for i in range(60)]
+    q = parse(sql(within="'1' DAY"))
+    cands = candidates.split(spark.createDataFrame(rows, SCHEMA), q, "s")
+    one = prune._within(cands, q, "A", prune._intervals(cands, q, "A"))
+    width = prune._width(q, ["__p0"])
+    assert one.count() == 20 and prune._intervals(cands, q, "B").where(f"floor(end / {width}) - floor(start / {width}) > 2").isEmpty()
