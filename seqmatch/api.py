@@ -48,7 +48,7 @@ def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = No
     greedy = strategy == NEXT_MATCH or (strategy == NEXT_ROW and preference == "first_completed")
     if strategy == STRICT:
         out = match.strict(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
-    elif by_window and greedy and not q.dependent and q.partition_by and prune_mode in (prune.NONE, prune.PREDICATES):
+    elif by_window and greedy and not q.dependent and prune_mode in (prune.NONE, prune.PREDICATES):
         out = match.next_by_window(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
     else:
         cands = candidates.split(df, q, unit, whole=not q.measures)

@@ -107,7 +107,9 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
 
     Going back in time, every row learns the next row of the last variable, then every row of the variable before it
     carries its own continuation along, and so on to the heads.  ``spread`` deals partitions to stretches of time as long
-    as the window, each of which also sees the rows of the next one, so that no partition is one task.
+    as the window, each of which also sees the rows of the next one, so that no partition is one task.  Without a
+    partition key rows are dealt to ranges of time between quantiles, and what a range leaves open is taken from the later
+    ones: of those, one row for each range is looked at.
     """
     check(df, q)
     flags = {v: own_conditions(q, v) for v in q.variables}
@@ -116,28 +118,53 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
     rows = df.where(any_variable(q) & t.isNotNull())
     rows = rows.select(*keys, t.alias("__t"), *[c.alias(f"__o{i}") for i, c in enumerate(tie_columns(df, q))], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[f.alias(f"__is_{v}") for v, f in flags.items()])
     groups = [f"__p{i}" for i in range(len(keys))]
-    if spread:
+    head, rest = q.variables[0], q.variables[1:]
+    if not keys:
+        rows, groups = rows.withColumn("__range", _range_of(_cuts(rows, "__t"), "__t")), ["__range"]
+    elif spread:
         stretch = F.floor(F.col("__t") / F.lit(max(1, q.window_us)))
         rows = rows.withColumn("__range", F.explode(F.array(stretch, stretch - 1)))
-        rows = rows.withColumn(f"__is_{q.variables[0]}", F.col(f"__is_{q.variables[0]}") & (F.col("__range") == stretch))
+        rows = rows.withColumn(f"__is_{head}", F.col(f"__is_{head}") & (F.col("__range") == stretch))
         groups = [*groups, "__range"]
     w = Window.partitionBy(*groups).orderBy(F.desc("__t"), *[F.desc(f"__o{i}") for i in range(ties)]).rowsBetween(Window.unboundedPreceding, -1)
     own = [F.col("__t").alias("t"), *[F.col(f"__o{i}").alias(f"o{i}") for i in range(ties)], *[F.col(f"c__{c.lower()}").alias(c.lower()) for c in names]]
     following = None
     for v in reversed(q.variables):
-        body = F.struct(F.struct(*own).alias("me"), *([F.col("__next").alias("then")] if following else []))
-        usable = F.col(f"__is_{v}") if following is None else F.col(f"__is_{v}") & F.col("__next").isNotNull()
-        rows = rows.withColumn("__this", F.when(usable, body))
-        if v != q.variables[0]:
-            rows = rows.withColumn("__next", F.last("__this", ignorenulls=True).over(w))
+        body = F.struct(F.struct(*own).alias("me"), *([F.col(f"__next_{following}").alias("then")] if following else []))
+        usable = F.col(f"__is_{v}") if following is None or not keys else F.col(f"__is_{v}") & F.col(f"__next_{following}").isNotNull()
+        rows = rows.withColumn(f"__this_{v}", F.when(usable, body))
+        if v != head:
+            rows = rows.withColumn(f"__next_{v}", F.last(f"__this_{v}", ignorenulls=True).over(w))
         following = v
-    out, at = rows.where("__this is not null"), "__this"
-    select = [F.col(f"__p{i}") for i in range(len(keys))]
+    out, chain = rows.where(f"__this_{head} is not null"), F.col(f"__this_{head}")
+    if not keys and rest:
+        out = out.select("__range", f"__this_{head}").join(F.broadcast(_later(rows, rest, ties)), "__range")
+        chain = _whole_chain(chain, rest)
+    out = out.select(*[F.col(f"__p{i}") for i in range(len(keys))], chain.alias("__chain"))
+    select, at = [F.col(f"__p{i}") for i in range(len(keys))], "__chain"
     for v in q.variables:
         select += [F.col(f"{at}.me.t").alias(f"{v}__t"), *[F.col(f"{at}.me.o{i}").alias(f"{v}__o{i}") for i in range(ties)], *[F.col(f"{at}.me.{c.lower()}").alias(f"{v}__{c.lower()}") for c in names]]
         at += ".then"
     out = out.select(*select)
-    return out.where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{q.variables[0]}__t") + F.lit(q.window_us))
+    return out.where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{head}__t") + F.lit(q.window_us))
+
+
+def _whole_chain(chain: Column, rest: tuple[str, ...]) -> Column:
+    """A row and those after it, where the range's own rows end continued with the first ones of later ranges."""
+    if not rest:
+        return chain
+    then = chain["then"]
+    return F.when(chain.isNotNull(), F.struct(chain["me"].alias("me"), F.when(then.isNull(), F.col(f"__later_{rest[0]}")).otherwise(_whole_chain(then, rest[1:])).alias("then")))
+
+
+def _later(rows: DataFrame, rest: tuple[str, ...], ties: int) -> DataFrame:
+    """For each range of time the first row of each variable in later ranges, with the rows that continue it."""
+    place = F.struct("__t", *[f"__o{i}" for i in range(ties)])
+    firsts = rows.groupBy("__range").agg(*[F.min_by(f"__this_{v}", F.when(F.col(f"__this_{v}").isNotNull(), place)).alias(f"__first_{v}") for v in rest])
+    back = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    for i in reversed(range(len(rest))):
+        firsts = firsts.withColumn(f"__later_{rest[i]}", F.last(_whole_chain(F.col(f"__first_{rest[i]}"), rest[i + 1 :]), ignorenulls=True).over(back))
+    return firsts.select("__range", *[f"__later_{v}" for v in rest])
 
 
 def strict(df: DataFrame, q: Query, ties: int, unit: str, names: list[str], spread: bool = False) -> DataFrame:
@@ -173,10 +200,7 @@ def _ranges(rows: DataFrame, keys: list[str], order: list[Column], more: int) ->
 
     What follows a range is among the first ``more`` rows of the later ones: Spark limits those before they are shuffled,
     so only the bounds go through the driver, and a partition's first rows are as many as ranges times ``more``."""
-    spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in rows.approxQuantile("__t", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    rows = rows.withColumn("__range", _range_of(cuts, "__t"))
+    rows = rows.withColumn("__range", _range_of(_cuts(rows, "__t"), "__t"))
     own = rows.withColumn("__extra", F.lit(0))
     if not more:
         return own
@@ -188,6 +212,12 @@ def _ranges(rows: DataFrame, keys: list[str], order: list[Column], more: int) ->
     return own.unionByName(lent)
 
 
+def _cuts(rows: DataFrame, time: str) -> list[int]:
+    """Bounds between as many ranges of time as there are shuffle partitions, with about equal numbers of rows."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sorted({int(x) for x in rows.approxQuantile(time, [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+
+
 def _range_of(cuts: list[int], time: str) -> Column:
     """Number of the range between ``cuts`` that a time falls in, by bisection."""
     steps = [1 << i for i in reversed(range(max(1, len(cuts).bit_length())))]
@@ -208,9 +238,7 @@ def _followers(nodes: DataFrame, keys: list[str], to_last: bool) -> DataFrame:
 
     Beginnings and ends are dealt to ranges of time between quantiles, so that neither one large partition nor a table
     without a partition key is one task; where a range has no later beginning, the least one of a later range is it."""
-    spark = nodes.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in nodes.select(F.col("s.t").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    cuts = _cuts(nodes.select(F.col("s.t").alias("t")), "t")
     begins = nodes.select(*keys, F.col("s").alias("at"), F.col("s").alias("begin"), F.lit(None).cast(nodes.schema["s"].dataType).alias("s"))
     ends = nodes.select(*keys, F.col("e").alias("at"), F.lit(None).cast(nodes.schema["s"].dataType).alias("begin"), "s")
     rows = begins.unionByName(ends).withColumn("t", F.col("at.t")).withColumn("range", _range_of(cuts, "t"))

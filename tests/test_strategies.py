@@ -227,6 +227,27 @@ def test_spread_partitions_give_the_same(spark, strategy):
     assert match_recognize(df.limit(0), sql(), strategy, unit="s", spread=True).count() == 0
 
 
+@pytest.mark.parametrize("strategy", [NEXT_MATCH, NEXT_ROW])
+def test_without_a_key_by_window_gives_the_same_as_by_joins(spark, strategy):
+    r = random.Random(23)
+    rows = [(i, r.choice([None, i // 3]) if i % 20 == 0 else i // 3 + 40 * (i // 70), r.choice("xy"), r.choice("AABCDZ") if i % 200 > 60 else "Z", 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for names in ("ABCD", "ABC", "AB", "A"):
+        a, b = (match_recognize(df, sql(names, partition=False), strategy, unit="s", by_window=by_window) for by_window in (False, True))
+        # the plan of joins makes all pairs of rows within a window
+        assert len(names) == 1 or ("explode" in a._jdf.queryExecution().toString() and "explode" not in b._jdf.queryExecution().toString())
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and b.count() > 5
+        assert match_recognize(df.limit(0), sql(names, partition=False), strategy, unit="s").count() == 0
+
+
+def test_next_rows_far_behind_empty_ranges(spark):
+    # with four ranges of time the rows after A, and after B, are ranges away
+    rows = rows_of((1, 1, "x", "A", 0.0), *[(i, i, "x", "A", 0.0) for i in range(2, 9)], (9, 40, "x", "B", 0.0), *[(i, i + 50, "x", "A", 0.0) for i in range(10, 19)], (30, 90, "x", "C", 0.0), (31, 91, "x", "B", 0.0))
+    for within in (100, 85, 60):
+        text = sql(within=f"'{within}' SECOND", partition=False)
+        assert run(spark, rows, text, NEXT_ROW) == run(spark, rows, text, NEXT_MATCH) == brute(rows, parse(text), NEXT_MATCH)
+
+
 @pytest.mark.parametrize("mode", [prune.TWO_TRIPS, prune.SEQUENTIAL, prune.SLICED, prune.DUAL])
 def test_sets_of_keys_are_not_broadcast(spark, mode):
     rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], 0.0) for i in range(60)]
