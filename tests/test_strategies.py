@@ -265,3 +265,17 @@ def test_a_long_window_repeats_intervals_of_keys_a_few_times_only(spark):
     one = prune._within(cands, q, "A", prune._intervals(cands, q, "A"))
     width = prune._width(q, ["__p0"])
     assert one.count() == 20 and prune._intervals(cands, q, "B").where(f"floor(end / {width}) - floor(start / {width}) > 2").isEmpty()
+
+
+def test_report_broadcasts_no_sets_of_keys(spark):
+    rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], 0.0) for i in range(60)]
+    q = parse(sql(within="'1' DAY"))
+    df = prune.report(candidates.split(spark.createDataFrame(rows, SCHEMA), q, "s"), q, 1, (prune.NONE, prune.TWO_TRIPS, prune.SEQUENTIAL, prune.DUAL))
+    assert _set_broadcasts(df) == []
+    out = {(r.mode, r.variable): r.rows for r in df.collect()}
+    assert len(out) == 12 and all(out[prune.NONE, v] == 20 and out[m, v] <= 20 for m, v in out)
+
+
+def _set_broadcasts(df):
+    """Joins that broadcast a set repeated in buckets or slices."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x and ("__b#" in x or "slice" in x)]
