@@ -41,3 +41,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_report_bounds_hold_and_no_set_of_keys_is_broadcast(spark):
+    df = registry.QUERIES["prune_report_bounds"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "BroadcastHashJoin" in x and "LeftSemi" in x and ("__b#" in x or "slice" in x)]
+    out = df.collect()
+    assert len(out) == 24 and all(r.keeps_matches and r.adds_nothing for r in out)
