@@ -46,7 +46,7 @@ def _same(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     on = F.col("__b") == F.col("__r___b")
     for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(names[c]))
-    return rows.join(side, on).drop(*names.values())
+    return rows.join(_unsent(side, keys), on).drop(*names.values())
 
 
 def union(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -59,7 +59,8 @@ def _buckets(start: str, end: str, width: int) -> Column:
 
 def _unsent(side: DataFrame, keys: list[str]) -> DataFrame:
     """Keep a set of many keys from being broadcast: Spark guesses its size from the table's before each interval is
-    repeated in every bucket or slice, and the driver would have to hold all of that."""
+    repeated in every bucket or slice, or from a shuffle's before windows widen it, and the driver would have to hold
+    all of that."""
     return side.hint("merge") if keys else side
 
 

@@ -155,12 +155,25 @@ def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts:
     return by_slices(cands, q, chosen, mode != SLICED)
 
 
+def _numbers(frames: dict[tuple[str, str], DataFrame]) -> dict[tuple[str, str], int]:
+    """Rows of each frame, in one job; frames with one plan are counted once."""
+    same: dict[tuple[str, str], tuple[str, str]] = {}
+    for at, df in frames.items():
+        same[at] = next((x for x in dict.fromkeys(same.values()) if x[1] == at[1] and frames[x].sameSemantics(df)), at)
+    parts = [frames[m, v].agg(F.lit(m).alias("m"), F.lit(v).alias("v"), F.count(F.lit(1)).alias("n")) for m, v in dict.fromkeys(same.values())]
+    n = {(r["m"], r["v"]): r["n"] for r in reduce(lambda a, b: a.unionByName(b), parts).collect()}
+    return {at: n[x] for at, x in same.items()}
+
+
 def report(df_cands: Candidates, q: Query, ties: int, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """Rows of each variable that each mode lets through to the match: (mode, variable, rows)."""
-    rows = reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(v).alias("v"), F.count(F.lit(1)).alias("n")) for v, df in df_cands.items()])
-    counts = {r["v"]: r["n"] for r in rows.collect()}
-    parts = []
-    for mode in modes:
-        for v, df in reduce_candidates(df_cands, q, mode, ties, counts, cost.AlwaysOn()).items():
-            parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(mode).alias("mode"), F.lit(v).alias("variable"), "rows"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Rows of each variable that each mode lets through to the match: (mode, variable, rows).
+
+    Modes are counted one after the other, but for those by slices, which share their exchanges: in one plan of all
+    modes the driver would hold every stage and set at once.  What comes back to it is a number for each row."""
+    counts = {v: n for (_, v), n in _numbers({(NONE, v): df for v, df in df_cands.items()}).items()}
+    sliced = [m for m in modes if m in (SLICED, DUAL, ADAPTIVE)]
+    found: dict[tuple[str, str], int] = {}
+    for together in [*[[m] for m in modes if m not in sliced], *([sliced] if sliced else [])]:
+        found |= _numbers({(m, v): df for m in together for v, df in reduce_candidates(df_cands, q, m, ties, counts, cost.AlwaysOn()).items()})
+    rows = [F.struct(F.lit(m).alias("mode"), F.lit(v).alias("variable"), F.lit(found[m, v]).cast("long").alias("rows")) for m in modes for v in q.variables]
+    return next(iter(df_cands.values())).sparkSession.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*")

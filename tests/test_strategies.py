@@ -6,7 +6,8 @@ import random
 import pytest
 
 from seqmatch import match_recognize
-from seqmatch.operators import candidates, prune
+from seqmatch.operators import candidates, intervals, prune
+from seqmatch.plans import cost
 from seqmatch.plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, QueryError
 from seqmatch.plans.parser import parse
 from seqmatch.streaming.matcher import Matcher, compiled
@@ -274,6 +275,26 @@ def test_report_broadcasts_no_sets_of_keys(spark):
     assert len(out) == 12 and all(out[prune.NONE, v] == 20 and out[m, v] <= 20 for m, v in out)
 
 
+def test_report_counts_one_mode_at_a_time(spark):
+    rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], float(i % 5)) for i in range(60)]
+    q = parse(sql(within="'1' DAY"))
+    cands = candidates.split(spark.createDataFrame(rows, SCHEMA), q, "s")
+    df = prune.report(cands, q, 1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    counts = {v: x.count() for v, x in cands.items()}
+    expected = {(m, v): x.count() for m in prune.MODES for v, x in prune.reduce_candidates(cands, q, m, 1, counts, cost.AlwaysOn()).items()}
+    assert {(r.mode, r.variable): r.rows for r in df.collect()} == expected and len(expected) == 24
+    assert [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema] == [("mode", "string", False), ("variable", "string", False), ("rows", "bigint", False)]
+
+
+def test_merging_intervals_of_keys_broadcasts_nothing(spark):
+    rows = spark.range(60).selectExpr("cast(id % 7 as string) k", "id * 100 start", "id * 100 + 150 end")
+    df = intervals.coalesce(rows, ["k"], 1000)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 60 and intervals.coalesce(rows.drop("k"), bucket=1000).select("start", "end").collect() == [(0, 6050)]
+
+
 def _set_broadcasts(df):
     """Joins that broadcast a set repeated in buckets or slices."""
     return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x and ("__b#" in x or "slice" in x)]
