@@ -189,7 +189,9 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
     large = full.where(F.col("size") > BUCKET_BLOCK)
     if not large.head(1):
         return edges
-    groups = components(edges, "bucket-groups").select("root", F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
+    groups = components(edges, "bucket-groups")
+    stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    groups = groups.select("root", F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
     rows = banded.join(large.hint("merge"), "band").join(groups.hint("merge"), ["k1", "k2"], "left")
     rows = materialize(rows.select("band", "size", "k1", "k2", F.coalesce("root", F.struct("k1", "k2")).alias("root")), "large-buckets")
     most = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others"))
@@ -198,7 +200,8 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFram
     right = "transform(sequence(0, few - 1), i -> named_struct('i', -1 - i, 'j', mine, 'side', 1))"
     left = f"transform(sequence(0, cast(ceil(size / {BUCKET_BLOCK}) as int) - 1), j -> named_struct('i', -1 - cast(pmod(xxhash64('few', k1, k2), few) as int), 'j', j, 'side', 0))"
     units = rows.select("band", "k1", "k2", F.explode(F.expr(f"if(root = most, {right}, concat({left}, {right}))")).alias("x"))
-    return edges.unionByName(materialize(_compared(units, nodes, threshold, tolerance), "bucket-links"))
+    more = materialize(_compared(units, nodes, threshold, tolerance), "bucket-links")
+    return stars.unionByName(more)  # what the first edges connect is known: they need no further rounds
 
 
 def _compared(units: DataFrame, nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -250,7 +253,7 @@ def _compared(units: DataFrame, nodes: DataFrame, threshold: float, tolerance: f
                 i, j = np.concatenate(us), np.concatenate(vs)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(k1[j]), pa.array(k2[j])], names=["a1", "a2", "b1", "b2"])
 
-    edges = meet.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
+    edges = meet.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")  # several bands may find one edge: components() looks at it once
     return edges.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("u"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("v"))
 
 

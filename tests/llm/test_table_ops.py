@@ -364,6 +364,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    written = []
+    keep = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, what: written.append(what) or keep(df, what))
+    stars = [(0, i) for i in range(1, 30)] + [(101, 100), (100, 102), (100, 102), (9, 9)]
+    out = {r.node: r.root for r in components.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert out == {**dict.fromkeys(range(30), 0), **dict.fromkeys((100, 101, 102), 100)} and len(written) == 2
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    root = list(range(60))
+    for _ in range(60):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {x: root[x] for u, v in edges if u != v for x in (u, v)}
+
+
 # ---------------------------------------------------------------- SQL
 
 
