@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from seqmatch import match_recognize
+from seqmatch import match_recognize, registry
 from seqmatch.operators import candidates, intervals, prune
 from seqmatch.plans import cost
 from seqmatch.plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, QueryError
@@ -295,6 +295,11 @@ def test_merging_intervals_of_keys_broadcasts_nothing(spark):
     assert df.count() == 60 and intervals.coalesce(rows.drop("k"), bucket=1000).select("start", "end").collect() == [(0, 6050)]
 
 
+def test_bounds_of_the_report_do_not_plan_its_modes_again(spark):
+    df = registry.QUERIES["prune_report_bounds"](spark, "/root/testdata/sf0.001")
+    assert "LeftSemi" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def _set_broadcasts(df):
     """Joins that broadcast a set repeated in buckets or slices."""
     return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x and ("__b#" in x or "slice" in x)]
