@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,25 @@ NONE, PREDICATES, JOIN, TWO_TRIPS, SEQUENTIAL, SLICED, DUAL, ADAPTIVE = "none",
 MODES = (NONE, PREDICATES, JOIN, TWO_TRIPS, SEQUENTIAL, SLICED, DUAL, ADAPTIVE)
 HOUR = 3_600_000_000
 Candidates = dict[str, DataFrame]
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def planned(df: DataFrame, what: str) -> DataFrame:
+    """Intermediate rows stay part of the plans that use them."""
+    return df
+
+
+def written_once() -> Keep:
+    """Intermediate rows are written to the shared folder, those of one plan once, and later plans read them."""
+    made: list[tuple[DataFrame, DataFrame]] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        table = next((t for x, t in made if x.sameSemantics(df)), None)
+        if table is None:
+            made.append((df, table := materialize(df, what)))
+        return table
+
+    return keep
 
 
 def allowed(mode: str, strategy: str) -> None:
@@ -65,44 +85,45 @@ def _within(cands: Candidates, q: Query, var: str, times: DataFrame) -> DataFram
     return iv.contains(cands[var], f"{var}__t", times, keys, _width(q, keys))
 
 
-def two_trips(cands: Candidates, q: Query) -> Candidates:
+def two_trips(cands: Candidates, q: Query, keep: Keep = planned) -> Candidates:
     """All intervals and key sets at once, intersected, then one fetch."""
     keys = partition(next(iter(cands.values())))
-    common = materialize(reduce(lambda a, b: _common(a, b, q, keys), [_intervals(cands, q, v) for v in q.variables]), "times")
+    common = materialize(reduce(lambda a, b: _common(a, b, q, keys), [keep(_intervals(cands, q, v), "intervals") for v in q.variables]), "times")
     inside = {v: _within(cands, q, v, common) for v in q.variables}
     return {v: _keyed(inside | {o: cands[o] for o in q.variables if o != v}, q, v, [o for o in q.variables if o != v]) for v in q.variables}
 
 
-def one_by_one(cands: Candidates, q: Query, order: list[str]) -> Candidates:
+def one_by_one(cands: Candidates, q: Query, order: list[str], keep: Keep = planned) -> Candidates:
     """Variable after variable: each is cut down to the time and keys that the ones before it left, and then cuts the
     time set itself; at the end all variables are cut to the final set.  The time set is looked at by every later step,
     so each is written to the shared folder once."""
     keys = partition(next(iter(cands.values())))
     now = dict(cands)
-    allowed_time = materialize(_intervals(now, q, order[0]), "times")
+    first = _intervals(now, q, order[0])
+    allowed_time = materialize(first, "times") if keep is planned else keep(first, "intervals")
     done = [order[0]]
     for v in order[1:]:
-        now[v] = _keyed(now | {v: _within(now, q, v, allowed_time)}, q, v, done)
-        allowed_time = materialize(_common(allowed_time, _intervals(now, q, v), q, keys), "times")
+        now[v] = keep(_keyed(now | {v: _within(now, q, v, allowed_time)}, q, v, done), "candidates")
+        allowed_time = materialize(_common(allowed_time, keep(_intervals(now, q, v), "intervals"), q, keys), "times")
         done.append(v)
     return {v: _within(now, q, v, allowed_time) for v in q.variables}
 
 
-def by_slices(cands: Candidates, q: Query, variables: list[str], keyed: bool) -> Candidates:
+def by_slices(cands: Candidates, q: Query, variables: list[str], keyed: bool, keep: Keep = planned) -> Candidates:
     """All variables at once: one aggregation finds the slices of time that windows of each of ``variables`` touch, and
-    every variable keeps its rows in those; ``keyed`` also asks for the partners of equalities.  Nothing is written; the
-    plan's equal exchanges are made once."""
+    every variable keeps its rows in those; ``keyed`` also asks for the partners of equalities.  Nothing is written unless
+    by ``keep``; the plan's equal exchanges are made once."""
     keys = partition(next(iter(cands.values())))
     parts = [iv.slices(iv.replay(cands[v], f"{v}__t", q.window_us, q.marker(v), keys), q.window_us, keys).withColumn("who", F.lit(1 << i)) for i, v in enumerate(variables)]
     touched = reduce(lambda a, b: a.unionByName(b), parts).groupBy("slice", *keys).agg(F.bit_or("who").alias("who"))
-    common = touched.where(F.col("who") == (1 << len(variables)) - 1).drop("who")
+    common = keep(touched.where(F.col("who") == (1 << len(variables)) - 1).drop("who"), "slices")
     inside = {v: iv.slice_filter(cands[v], f"{v}__t", common, q.window_us, keys) for v in q.variables}
     if not keyed:
         return inside
     return {v: _keyed(cands | {v: inside[v]}, q, v, [o for o in q.variables if o != v]) for v in q.variables}
 
 
-def by_join(cands: Candidates, q: Query, order: list[str], ties: int) -> Candidates:
+def by_join(cands: Candidates, q: Query, order: list[str], ties: int, keep: Keep = planned) -> Candidates:
     """Semi-joins with all conditions: each variable keeps rows that have a partner among the one reduced before."""
     now, done = dict(cands), [order[0]]
     width = max(1, q.window_us)
@@ -116,7 +137,8 @@ def by_join(cands: Candidates, q: Query, order: list[str], ties: int) -> Candida
             right = right.withColumn("__w2", F.explode(F.array(*near)))
             on = [F.col("__w") == F.col("__w2"), *[F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys], after(first, second, ties)]
             on += [F.col(f"{second}__t") <= F.col(f"{first}__t") + F.lit(q.window_us), *[condition(p) for p in q.between(v, other)]]
-            now[v] = left.join(right, reduce(lambda a, b: a & b, on), "left_semi").drop("__w")
+            now[v] = left.join(iv._unsent(right, keys), reduce(lambda a, b: a & b, on), "left_semi").drop("__w")
+        now[v] = keep(now[v], "candidates")
         done.append(v)
     return now
 
@@ -128,18 +150,19 @@ def span_us(cands: Candidates) -> int:
     return max(1, r["b"] - r["a"]) if r["a"] is not None else 1
 
 
-def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts: dict[str, int] | None = None, model: cost.CostModel | None = None) -> Candidates:
-    """Apply a mode.  Those with an order of variables need ``counts``, which cost one aggregation over the table."""
+def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts: dict[str, int] | None = None, model: cost.CostModel | None = None, keep: Keep = planned) -> Candidates:
+    """Apply a mode.  Those with an order of variables need ``counts``, which cost one aggregation over the table.
+    ``keep`` gets the rows that several of the frames build on."""
     if mode in (NONE, PREDICATES) or len(q.variables) < 2:
         return cands
     if mode == TWO_TRIPS:
-        return two_trips(cands, q)
+        return two_trips(cands, q, keep)
     counts = counts or {v: df.count() for v, df in cands.items()}
     if mode == JOIN:
-        return by_join(cands, q, cost.join_plan(q, counts), ties)
+        return by_join(cands, q, cost.join_plan(q, counts), ties, keep)
     order = cost.filter_plan(q, counts)
     if mode == SEQUENTIAL:
-        return one_by_one(cands, q, order)
+        return one_by_one(cands, q, order, keep)
     chosen = list(order)
     if mode == ADAPTIVE:
         span, model = span_us(cands), model or cost.Adaptive()
@@ -152,28 +175,27 @@ def reduce_candidates(cands: Candidates, q: Query, mode: str, ties: int, counts:
                 chosen.append(v)
         if len(chosen) < 2:
             return cands
-    return by_slices(cands, q, chosen, mode != SLICED)
-
-
-def _numbers(frames: dict[tuple[str, str], DataFrame]) -> dict[tuple[str, str], int]:
-    """Rows of each frame, in one job; frames with one plan are counted once."""
-    same: dict[tuple[str, str], tuple[str, str]] = {}
-    for at, df in frames.items():
-        same[at] = next((x for x in dict.fromkeys(same.values()) if x[1] == at[1] and frames[x].sameSemantics(df)), at)
-    parts = [frames[m, v].agg(F.lit(m).alias("m"), F.lit(v).alias("v"), F.count(F.lit(1)).alias("n")) for m, v in dict.fromkeys(same.values())]
-    n = {(r["m"], r["v"]): r["n"] for r in reduce(lambda a, b: a.unionByName(b), parts).collect()}
-    return {at: n[x] for at, x in same.items()}
+    return by_slices(cands, q, chosen, mode != SLICED, keep)
 
 
 def report(df_cands: Candidates, q: Query, ties: int, modes: tuple[str, ...] = MODES) -> DataFrame:
     """Rows of each variable that each mode lets through to the match: (mode, variable, rows).
 
-    Modes are counted one after the other, but for those by slices, which share their exchanges: in one plan of all
-    modes the driver would hold every stage and set at once.  What comes back to it is a number for each row."""
-    counts = {v: n for (_, v), n in _numbers({(NONE, v): df for v, df in df_cands.items()}).items()}
-    sliced = [m for m in modes if m in (SLICED, DUAL, ADAPTIVE)]
-    found: dict[tuple[str, str], int] = {}
-    for together in [*[[m] for m in modes if m not in sliced], *([sliced] if sliced else [])]:
-        found |= _numbers({(m, v): df for m in together for v, df in reduce_candidates(df_cands, q, m, ties, counts, cost.AlwaysOn()).items()})
+    Frame after frame is counted, those of one plan once, over candidates and sets that are written first: in plans of
+    whole modes the driver would hold tens of stages, their code and their broadcast tasks at once.  What comes back to
+    it is a number for each frame."""
+    keep = written_once()
+    needed = {v: {*partition(df), f"{v}__t", *[f"{v}__o{i}" for i in range(ties)], *[f"{v}__{c.lower()}" for c in q.columns(v)]} for v, df in df_cands.items()}
+    cands = {v: materialize(df.select(*[F.col(f"`{c}`") for c in df.columns if c in needed[v]]), "candidates") for v, df in df_cands.items()}
+    counted: list[tuple[DataFrame, int]] = []
+
+    def number(df: DataFrame) -> int:
+        n = next((n for x, n in counted if x.sameSemantics(df)), None)
+        if n is None:
+            counted.append((df, n := df.count()))
+        return n
+
+    counts = {v: number(df) for v, df in cands.items()}
+    found = {(m, v): number(df) for m in modes for v, df in reduce_candidates(cands, q, m, ties, counts, cost.AlwaysOn(), keep).items()}
     rows = [F.struct(F.lit(m).alias("mode"), F.lit(v).alias("variable"), F.lit(found[m, v]).cast("long").alias("rows")) for m in modes for v in q.variables]
     return next(iter(df_cands.values())).sparkSession.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*")

@@ -300,6 +300,26 @@ def test_bounds_of_the_report_do_not_plan_its_modes_again(spark):
     assert "LeftSemi" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_report_runs_small_plans_only(spark):
+    rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], float(i % 5)) for i in range(60)]
+    q = parse(sql(within="'1' DAY"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    prune.report(candidates.split(spark.createDataFrame(rows, SCHEMA), q, "s"), q, 1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList()
+    graphs = [store.planGraph(ran.apply(i).executionId()).allNodes() for i in range(before, ran.size())]
+    most = max(sum(g.apply(i).name() == "Exchange" for i in range(g.size())) for g in graphs)
+    assert most <= 12  # 31 in a plan of whole modes
+
+
+def test_joins_of_reduced_candidates_of_keys_are_not_broadcast(spark):
+    rows = spark.range(60).selectExpr("id event_id", "id * 3600 ts", "cast(id % 7 as string) user", "element_at(array('A', 'B', 'C'), cast(id % 3 as int) + 1) kind", "cast(id % 5 as double) value")
+    q = parse(sql(within="'1' DAY"))
+    for df in prune.reduce_candidates(candidates.split(rows.toDF(*[f.split(" ")[0] for f in SCHEMA.split(", ")]), q, "s"), q, prune.JOIN, 1).values():
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def _set_broadcasts(df):
     """Joins that broadcast a set repeated in buckets or slices."""
     return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x and ("__b#" in x or "slice" in x)]
