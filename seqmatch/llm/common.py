@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_path, shared_dir
 
-__all__ = ["bitmap", "blocks", "free_names", "hash128", "materialize", "may_be_in", "new_path", "shared_dir", "table", "text_buffer", "without"]
+__all__ = ["bitmap", "blocks", "free_names", "hash128", "materialize", "may_be_in", "new_path", "shared_dir", "small_batches", "table", "text_buffer", "without"]
 WORDS = 1 << 18
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches that go to Python hold ``most`` bytes and a row more at most, in all queries of this session.
+
+    Spark's own bounds are 10,000 rows and 64 MB.  Each task holds several copies of a batch of texts beside the JVM's heap,
+    in the JVM and in Python.  Results are lazy, so the setting stays; a smaller one of the session's own is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > most:
+        spark.conf.set(key, str(most))
+
+
 def hash128(*cols: Column | str) -> list[Column]:
     """Two independent 64-bit hashes of the same columns; as a pair they serve as a 128-bit key."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]

@@ -18,7 +18,7 @@ from test_text_ops import plain_dedup, plain_secrets, plain_sketch
 from tokenizers import Tokenizer
 
 from seqmatch.llm import langid, mixing, packing, quality, secrets
-from seqmatch.llm.common import table, text_buffer
+from seqmatch.llm.common import BATCH_BYTES, table, text_buffer
 from seqmatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -226,3 +226,26 @@ def test_ids_equal_those_of_whole_texts(spark):
     for x in texts:
         want = t.encode(x, add_special_tokens=False).ids
         assert list(fast(x)) == want and list(other(x)) == want, x[:80]
+
+
+@pytest.mark.parametrize("name", ["quality", "ngram_join", "packing"])
+def test_pipeline_bounds_batches_of_texts(spark, name):
+    """Batches that a stage's Python gets in a session as it comes are small; with Spark's own bounds they had 50 MB here."""
+    import corpus_pipeline as p
+
+    own = spark.newSession()
+    dict(p.STAGES)[name](own, table(own, SF, "documents"), SF)
+    texts = own.range(10_000).select(F.repeat(F.lit("x"), 5_000).alias("text")).coalesce(1)
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"]) for b in batches), "size long, n long").collect()
+    assert sum(r.n for r in sizes) == 10_000 and max(r.size for r in sizes) < BATCH_BYTES + 100_000
+
+
+def test_pipeline_joins_alike_in_batches_of_one_row(spark):
+    """Groups of rows that Python puts together again across batches; a session's own smaller bound is kept."""
+    import corpus_pipeline as p
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1")
+    alone = p.without_near_copies(own, table(own, SF, "documents"), SF).collect()
+    assert own._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == 1
+    assert sorted(alone) == sorted(p.without_near_copies(spark, table(spark, SF, "documents"), SF).collect())
