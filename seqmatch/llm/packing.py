@@ -262,7 +262,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = max(GROUP_ROWS, -(-sum(counts.values()) // GROUPS))
-    salts = spark.createDataFrame([(n, -(-c // each)) for n, c in counts.items()], f"{same} long, {many} int")
+    # from an Arrow table, which the JVM reads itself: from Python rows, executors would start workers of another kind for it
+    salts = spark.createDataFrame(pa.table({same: pa.array([*counts], pa.int64()), many: pa.array([-(-c // each) for c in counts.values()], pa.int32())}))
     salted = parts.join(F.broadcast(salts), F.col("length") == F.col(same)).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(many)).cast("int")).drop(many, same)
     groups = sorted((r["length"], r[salt], r["n"]) for r in salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).collect())
     before, sums = [], {}

@@ -249,3 +249,11 @@ def test_pipeline_joins_alike_in_batches_of_one_row(spark):
     alone = p.without_near_copies(own, table(own, SF, "documents"), SF).collect()
     assert own._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == 1
     assert sorted(alone) == sorted(p.without_near_copies(spark, table(spark, SF, "documents"), SF).collect())
+
+
+def test_packing_starts_no_workers_for_its_plan(spark):
+    """The table of salts is a local one; made of Python objects it is an RDD, for which executors start workers of their own."""
+    out = packing.place(spark.sql("SELECT id AS doc_id, 0 AS piece, 1 + id % 7 AS length FROM range(100)"))
+    plan = out._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and out.count() == 100
