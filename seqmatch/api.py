@@ -21,7 +21,8 @@ def _assemble(m: DataFrame, q: Query, columns: list[str], ids: bool) -> DataFram
 
 def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = None, prune_mode: str = prune.PREDICATES, preference: str = "first_completed", unit: str = "us", by_window: bool = True, model=None, spread: bool | None = None) -> DataFrame:
     """Matches of ``query`` in ``df``, one row each.  Pruning modes with an order of variables, skips and ranges of time run
-    small jobs for counts and bounds when called, and the rest lazily.
+    small jobs for counts and bounds when called, and the rest lazily; skips, and ``by_window`` without a partition key, run
+    jobs and write intermediate tables when called.
 
     ``strategy``: any_match (all combinations), next_row (for each head the first completed one; the default),
     next_match (greedy) or strict (adjacent rows, the default for ``PATTERN (A B C)``); without it the statement's
@@ -48,6 +49,8 @@ def match_recognize(df: DataFrame, query: str | Query, strategy: str | None = No
     greedy = strategy == NEXT_MATCH or (strategy == NEXT_ROW and preference == "first_completed")
     if strategy == STRICT:
         out = match.strict(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
+    elif by_window and greedy and not q.dependent and not q.partition_by and len(q.variables) > 1 and prune_mode in (prune.NONE, prune.PREDICATES):
+        out = match.next_by_ranges(df, q, ties, unit, names)
     elif by_window and greedy and not q.dependent and q.partition_by and prune_mode in (prune.NONE, prune.PREDICATES):
         out = match.next_by_window(df, q, ties, unit, names, match.has_hot_partition(df, q) if spread is None else spread)
     else:

@@ -107,9 +107,7 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
 
     Going back in time, every row learns the next row of the last variable, then every row of the variable before it
     carries its own continuation along, and so on to the heads.  ``spread`` deals partitions to stretches of time as long
-    as the window, each of which also sees the rows of the next one, so that no partition is one task.  Without a
-    partition key rows are dealt to ranges of time between quantiles, and what a range leaves open is taken from the later
-    ones: of those, one row for each range is looked at.
+    as the window, each of which also sees the rows of the next one, so that no partition is one task.
     """
     check(df, q)
     flags = {v: own_conditions(q, v) for v in q.variables}
@@ -118,35 +116,68 @@ def next_by_window(df: DataFrame, q: Query, ties: int, unit: str, names: list[st
     rows = df.where(any_variable(q) & t.isNotNull())
     rows = rows.select(*keys, t.alias("__t"), *[c.alias(f"__o{i}") for i, c in enumerate(tie_columns(df, q))], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[f.alias(f"__is_{v}") for v, f in flags.items()])
     groups = [f"__p{i}" for i in range(len(keys))]
-    head, rest = q.variables[0], q.variables[1:]
-    if not keys:
-        rows, groups = rows.withColumn("__range", _range_of(_cuts(rows, "__t"), "__t")), ["__range"]
-    elif spread:
+    if spread:
         stretch = F.floor(F.col("__t") / F.lit(max(1, q.window_us)))
         rows = rows.withColumn("__range", F.explode(F.array(stretch, stretch - 1)))
-        rows = rows.withColumn(f"__is_{head}", F.col(f"__is_{head}") & (F.col("__range") == stretch))
+        rows = rows.withColumn(f"__is_{q.variables[0]}", F.col(f"__is_{q.variables[0]}") & (F.col("__range") == stretch))
         groups = [*groups, "__range"]
     w = Window.partitionBy(*groups).orderBy(F.desc("__t"), *[F.desc(f"__o{i}") for i in range(ties)]).rowsBetween(Window.unboundedPreceding, -1)
     own = [F.col("__t").alias("t"), *[F.col(f"__o{i}").alias(f"o{i}") for i in range(ties)], *[F.col(f"c__{c.lower()}").alias(c.lower()) for c in names]]
     following = None
     for v in reversed(q.variables):
-        body = F.struct(F.struct(*own).alias("me"), *([F.col(f"__next_{following}").alias("then")] if following else []))
-        usable = F.col(f"__is_{v}") if following is None or not keys else F.col(f"__is_{v}") & F.col(f"__next_{following}").isNotNull()
-        rows = rows.withColumn(f"__this_{v}", F.when(usable, body))
-        if v != head:
-            rows = rows.withColumn(f"__next_{v}", F.last(f"__this_{v}", ignorenulls=True).over(w))
+        body = F.struct(F.struct(*own).alias("me"), *([F.col("__next").alias("then")] if following else []))
+        usable = F.col(f"__is_{v}") if following is None else F.col(f"__is_{v}") & F.col("__next").isNotNull()
+        rows = rows.withColumn("__this", F.when(usable, body))
+        if v != q.variables[0]:
+            rows = rows.withColumn("__next", F.last("__this", ignorenulls=True).over(w))
         following = v
-    out, chain = rows.where(f"__this_{head} is not null"), F.col(f"__this_{head}")
-    if not keys and rest:
-        out = out.select("__range", f"__this_{head}").join(F.broadcast(_later(rows, rest, ties)), "__range")
-        chain = _whole_chain(chain, rest)
-    out = out.select(*[F.col(f"__p{i}") for i in range(len(keys))], chain.alias("__chain"))
-    select, at = [F.col(f"__p{i}") for i in range(len(keys))], "__chain"
+    out, at = rows.where("__this is not null"), "__this"
+    select = [F.col(f"__p{i}") for i in range(len(keys))]
     for v in q.variables:
         select += [F.col(f"{at}.me.t").alias(f"{v}__t"), *[F.col(f"{at}.me.o{i}").alias(f"{v}__o{i}") for i in range(ties)], *[F.col(f"{at}.me.{c.lower()}").alias(f"{v}__{c.lower()}") for c in names]]
         at += ".then"
     out = out.select(*select)
-    return out.where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{head}__t") + F.lit(q.window_us))
+    return out.where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{q.variables[0]}__t") + F.lit(q.window_us))
+
+
+def next_by_ranges(df: DataFrame, q: Query, ties: int, unit: str, names: list[str]) -> DataFrame:
+    """The same for two variables or more without a partition key, in one sort and no join of rows with rows.
+
+    Rows are dealt to ranges of time between quantiles.  Going back in time in its range, every row learns the next row of
+    each variable, be it the range's or none; what a range leaves open is continued with the first rows of later ranges.
+    Heads and one row for each range are written to the shared folder, and the rows of ranges are broadcast to the heads."""
+    check(df, q)
+    t, o = micros(df, q.time, unit), [f"__o{i}" for i in range(ties)]
+    rows = df.where(any_variable(q) & t.isNotNull())
+    rows = rows.select(t.alias("__t"), *[c.alias(x) for x, c in zip(o, tie_columns(df, q), strict=True)], *[F.col(f"`{c}`").alias(f"c__{c.lower()}") for c in names], *[own_conditions(q, v).alias(f"__is_{v}") for v in q.variables])
+    rows = rows.withColumn("__range", _range_of(_cuts(rows, "__t"), "__t"))
+    back = Window.partitionBy("__range").orderBy(*[F.desc(x) for x in ["__t", *o]])
+    before, so_far = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, 0)
+    # rows of one time and equal ties, or of which a null hides the order, do not come after each other: they see what the first of them sees
+    places = [F.struct("__t", *o[:k]) for k in range(ties + 1)]
+    rows = rows.withColumns({f"__begins{k}": ~F.lag(x).over(back).eqNullSafe(x) for k, x in enumerate(places)})
+    own = F.struct(F.col("__t").alias("t"), *[F.col(x).alias(x[2:]) for x in o], *[F.col(f"c__{c.lower()}").alias(c.lower()) for c in names])
+    head, rest = q.variables[0], q.variables[1:]
+    then = []
+    for v in reversed(rest):
+        rows = rows.withColumn(f"__this_{v}", F.when(F.col(f"__is_{v}"), F.struct(own.alias("me"), *then)))
+        rows = rows.withColumn("__seen", F.struct(F.last(f"__this_{v}", ignorenulls=True).over(before).alias("row")))
+        seen = [F.last(F.when(F.col(f"__begins{k}"), F.col("__seen")), ignorenulls=True).over(so_far)["row"] for k in range(ties + 1)]
+        rows = rows.withColumn("__then", reduce(lambda a, k: F.when(F.col(o[k]).isNull(), seen[k]).otherwise(a), reversed(range(ties)), seen[ties]))
+        then = [F.col("__then").alias("then")]
+    new = ~F.last(F.when(F.col(f"__is_{head}"), places[ties]), ignorenulls=True).over(before).eqNullSafe(places[ties])
+    firsts = F.struct(*[F.last(f"__this_{v}", ignorenulls=True).over(so_far).alias(v) for v in rest])
+    rows = rows.withColumn("__new", new).withColumn("__firsts", F.when(F.lead(F.lit(1)).over(back).isNull(), firsts))
+    rows = rows.select("__range", F.when(F.col(f"__is_{head}") & F.col("__new"), F.struct(own.alias("me"), *then)).alias("__chain"), "__firsts")
+    rows = materialize(rows.where("__chain is not null or __firsts is not null"), "heads")
+    out = rows.where("__chain is not null").select("__range", "__chain").join(F.broadcast(_later(rows.where("__firsts is not null"), rest)), "__range")
+    select, at = [], _whole_chain(F.col("__chain"), rest)
+    out = out.select(at.alias("__chain"))
+    at = F.col("__chain")
+    for v in q.variables:
+        select += [at["me"]["t"].alias(f"{v}__t"), *[at["me"][x[2:]].alias(f"{v}{x}") for x in o], *[at["me"][c.lower()].alias(f"{v}__{c.lower()}") for c in names]]
+        at = at["then"]
+    return out.select(*select).where(F.col(f"{q.variables[-1]}__t") <= F.col(f"{head}__t") + F.lit(q.window_us))
 
 
 def _whole_chain(chain: Column, rest: tuple[str, ...]) -> Column:
@@ -157,13 +188,11 @@ def _whole_chain(chain: Column, rest: tuple[str, ...]) -> Column:
     return F.when(chain.isNotNull(), F.struct(chain["me"].alias("me"), F.when(then.isNull(), F.col(f"__later_{rest[0]}")).otherwise(_whole_chain(then, rest[1:])).alias("then")))
 
 
-def _later(rows: DataFrame, rest: tuple[str, ...], ties: int) -> DataFrame:
+def _later(firsts: DataFrame, rest: tuple[str, ...]) -> DataFrame:
     """For each range of time the first row of each variable in later ranges, with the rows that continue it."""
-    place = F.struct("__t", *[f"__o{i}" for i in range(ties)])
-    firsts = rows.groupBy("__range").agg(*[F.min_by(f"__this_{v}", F.when(F.col(f"__this_{v}").isNotNull(), place)).alias(f"__first_{v}") for v in rest])
     back = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     for i in reversed(range(len(rest))):
-        firsts = firsts.withColumn(f"__later_{rest[i]}", F.last(_whole_chain(F.col(f"__first_{rest[i]}"), rest[i + 1 :]), ignorenulls=True).over(back))
+        firsts = firsts.withColumn(f"__later_{rest[i]}", F.last(_whole_chain(F.col(f"__firsts.{rest[i]}"), rest[i + 1 :]), ignorenulls=True).over(back))
     return firsts.select("__range", *[f"__later_{v}" for v in rest])
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from seqmatch import match_recognize, registry
-from seqmatch.operators import candidates, intervals, prune
+from seqmatch.operators import candidates, intervals, match, prune
 from seqmatch.plans import cost
 from seqmatch.plans.ast import ANY, NEXT_MATCH, NEXT_ROW, STRICT, QueryError
 from seqmatch.plans.parser import parse
@@ -247,6 +247,26 @@ def test_next_rows_far_behind_empty_ranges(spark):
         assert run(spark, rows, text, NEXT_ROW) == run(spark, rows, text, NEXT_MATCH) == brute(rows, parse(text), NEXT_MATCH)
 
 
+def test_next_rows_without_a_key_are_found_without_joins(spark, monkeypatch):
+    def extend(*_):
+        raise AssertionError("all rows of a window are paired")
+
+    monkeypatch.setattr(match, "extend", extend)
+    assert registry.QUERIES["skip_past_last_row_nopart"](spark, "/root/testdata/sf0.001").count() > 20
+
+
+@pytest.mark.parametrize("strategy", [NEXT_MATCH, NEXT_ROW])
+def test_without_a_key_equal_and_null_ties_are_as_by_joins(spark, strategy):
+    r = random.Random(29)
+    rows = [(r.choice([None, 1, 2, 3]), i // 12, "x", r.choice("ABCDZ"), r.choice([None, 1.0, 2.0, float("nan")])) for i in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for order in (["v", "event_id"], ["event_id"]):
+        measures = ", ".join(f"{x}.{c} AS {x}_{c}" for x in "ABC" for c in ["ts", *order])
+        text = f"SELECT * FROM t MATCH_RECOGNIZE(ORDER BY ts, {', '.join(order)} MEASURES {measures} PATTERN (A N1*? B N2*? C) WITHIN INTERVAL '2' SECOND DEFINE A AS A.type IN ('A', 'B'), B AS B.type IN ('B', 'C'), C AS C.type IN ('A', 'C'))"
+        a, b = (sorted(map(repr, match_recognize(df, text, strategy, unit="s", by_window=by_window).collect())) for by_window in (False, True))
+        assert a == b and len(a) > 40
+
+
 @pytest.mark.parametrize("mode", [prune.TWO_TRIPS, prune.SEQUENTIAL, prune.SLICED, prune.DUAL])
 def test_sets_of_keys_are_not_broadcast(spark, mode):
     rows = [(i, i * 3600, str(i % 7), "ABC"[i % 3], 0.0) for i in range(60)]
